@@ -43,7 +43,7 @@ def seed_table(spark: SparkSession) -> DataFrame:
     tops = ("example.com", "example.org", "example.net", "site.test")
     pre = ("", "www.", "blog.", "m.")
     langs = ("en", "de", "fr", "es")
-    for i in range(960):
+    for i in range(640):
         a, b, c = _SYLLABLES[i % 16], _SYLLABLES[(i * 7 + 3) % 16], _SYLLABLES[(i * 5 + i // 16) % 16]
         host = _GOOD[i % 16] if i % 3 == 0 else a + b + c
         tail = ("", "/", ".html")[i % 3]
@@ -86,7 +86,7 @@ def features(host: Column, path: Column, sizes: Sequence[int] = (3, 4)) -> Colum
     return F.concat(*grams)
 
 
-def fit(labelled: DataFrame, steps: int = 1500, rate: float = 2.0, l2: float = 1e-4) -> tuple[list[float], float]:
+def fit(labelled: DataFrame, steps: int = 500, rate: float = 8.0, l2: float = 1e-4) -> tuple[list[float], float]:
     """Weights and bias by full-batch gradient descent with momentum on a labelled url table.
 
     At most ``MAX_LABELLED`` labelled rows are read, by smallest hash of the url
@@ -105,13 +105,17 @@ def fit(labelled: DataFrame, steps: int = 1500, rate: float = 2.0, l2: float = 1
     x, y = np.zeros((len(rows), BUCKETS)), np.array([float(r.label) for r in rows])
     for i, r in enumerate(rows):
         np.add.at(x[i], r.x, 1 / math.sqrt(max(1, len(r.x))))
-    weights, speed, bias, speed_b = np.zeros(BUCKETS), np.zeros(BUCKETS), 0.0, 0.0
+    used = np.flatnonzero(x.any(0))
+    x = x[:, used]
+    weights, speed, bias, speed_b = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
     for _ in range(steps):
         d = (1 / (1 + np.exp(-np.clip(x @ weights + bias, -30, 30))) - y) / len(y)
         speed = 0.9 * speed - rate * (x.T @ d + l2 * weights)
-        speed_b = 0.9 * speed_b - 0.1 * rate * d.sum()
+        speed_b = 0.9 * speed_b - 0.05 * rate * d.sum()
         weights, bias = weights + speed, bias + speed_b
-    return weights.tolist(), float(bias)
+    full = np.zeros(BUCKETS)
+    full[used] = weights
+    return full.tolist(), float(bias)
 
 
 def score(host: Column, path: Column, model: tuple[list[float], float]) -> Column:
