@@ -7,6 +7,7 @@ costs a re-run of its tasks and never a lost table.
 
 from __future__ import annotations
 
+import gc
 import sys
 import tempfile
 import uuid
@@ -43,6 +44,21 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files whose plans are no longer referenced; else they stay until the JVM happens to collect."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a written intermediate that nothing will read again."""
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def crc_mod(key: str | Column, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo; the folds of the contracts. Null ids are in no fold."""
     col = F.col(key) if isinstance(key, str) else key

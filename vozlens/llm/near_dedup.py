@@ -9,10 +9,11 @@ betray similar sets.  The steps:
 1. sketch every text; texts with equal sets become one node (partial aggregation);
 2. band the registers; every node meets the smallest node of each of its buckets,
    which makes stars: two nodes that share a bucket share that star;
-3. each star is verified on full sets, in tiles of bounded size: within a tile, pairs
-   whose joint likelihood estimate lies well under the threshold are left out, the
-   others are compared exactly until the tile's links connect what they connect;
-4. connected components over the verified links.
+3. each star is dealt into tiles of bounded size, where pairs are screened by the joint
+   likelihood estimate: nodes with no partner near the threshold go no further;
+4. the full sets of the rest are compared in tiles of the same kind, likeliest pairs
+   first, until what the tile's links connect is connected;
+5. connected components over the verified links.
 
 No bucket is capped, no pair list is emitted: a tile returns at most one row for
 each of its nodes.  A star of n nodes costs ceil(n / CHUNK)**2 / 2 tiles, which
@@ -27,14 +28,14 @@ a component, and such a row is never kept unless its component has no id at all.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, materialize, table
+from .common import cut, discard, materialize, release, table
 from .kernels import GOLDEN, U64, mix, shingle_sets
 
 #: Registers, and registers in a band: pairs at 0.85 are missed by all bands once in 1e8, at 0.8 once in 3e5.
@@ -112,27 +113,34 @@ def joint_estimate(plus: np.ndarray, minus: np.ndarray, m: int, n_a: np.ndarray,
 
 
 def _sketched(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n, node (16 bytes naming the set), elements and sketch as bytes."""
+    """doc_id, n, name (16 bytes naming the set) and sketch of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in cut(whole, "text"):
                 sets = shingle_sets(batch.column(1), k)
-                levels = sketch(sets)
-                nodes = [_name(s) for s in sets]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0),
-                        pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array(nodes, pa.binary()),
-                        pa.array([s.tobytes() for s in sets], pa.binary()),
-                        pa.array([row.tobytes() for row in levels], pa.binary()),
-                    ],
-                    ["doc_id", "n", "node", "elements", "sketch"],
-                )
+                columns = [
+                    batch.column(0),
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([_name(s) for s in sets], pa.binary()),
+                    pa.array([row.tobytes() for row in sketch(sets)], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "name", "sketch"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, node binary, elements binary, sketch binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, name binary, sketch binary")
+
+
+def _elements(docs: DataFrame, k: int) -> DataFrame:
+    """name and elements (as bytes) of the set of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in cut(whole, "text"):
+                sets = shingle_sets(batch.column(0), k)
+                yield pa.RecordBatch.from_arrays([pa.array([_name(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["name", "elements"])
+
+    return docs.select("text").mapInArrow(run, "name binary, elements binary")
 
 
 def _name(elements: np.ndarray) -> bytes | None:
@@ -149,26 +157,104 @@ def _bands(nodes: DataFrame, rows: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = batch.column(0)
-            if not len(names):
+            nodes_ = batch.column(0).to_numpy(zero_copy_only=False)
+            if not len(nodes_):
                 continue
-            levels = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint16).reshape(len(names), -1)
+            levels = _levels(batch.column(1).to_pylist())
             bands = levels.shape[1] // rows
-            h = np.zeros((len(names), bands), dtype=U64)
+            h = np.zeros((len(nodes_), bands), dtype=U64)
             for r in range(rows):
                 h = mix(h * U64(3) + levels[:, r : bands * rows : rows].astype(U64) + U64(1))
             h = mix(h + np.arange(bands, dtype=U64) * U64(GOLDEN))
-            yield pa.RecordBatch.from_arrays([pa.array(h.reshape(-1).view(np.int64)), names.take(pa.array(np.repeat(np.arange(len(names)), bands)))], ["bucket", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(h.reshape(-1).view(np.int64)), pa.array(np.repeat(nodes_, bands))], ["bucket", "node"])
+
+    return nodes.select("node", "sketch").mapInArrow(run, "bucket long, node long")
 
-    return nodes.select("node", "sketch").mapInArrow(run, "bucket long, node binary")
 
+def _levels(sketches: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches), dtype=np.uint16).reshape(len(sketches), -1)
 
-def _verify(tiles: DataFrame, threshold: int) -> DataFrame:
-    """Links (a, b) within each tile; rows of a tile must lie together. 100 * common >= threshold * union."""
 
-    def one(names: list, side: np.ndarray, sizes: np.ndarray, sets: list, levels: np.ndarray, within: bool) -> Iterator[tuple]:
-        n = len(names)
-        parent = list(range(n))
+def _placed(members: DataFrame) -> DataFrame:
+    """(star, lo, hi, chunk, node): each star's nodes in chunks by hash, and each chunk in the tiles it shares with every chunk."""
+    chunks = members.groupBy("star").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    return (
+        members.join(chunks, "star")
+        .withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        .select("star", "chunk", "node", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"))
+    )
+
+
+def _by_tile(rows: DataFrame, handle: Callable[[tuple, list], list], schema: str) -> DataFrame:
+    """``handle(key, rows of a tile)`` for every tile (star, lo, hi); a tile is bounded by two chunks."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = [c.split(" ")[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
+        key = None
+        for batch in batches:
+            out: list = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:3] != key:
+                    if len(held) > 1:
+                        out += handle(key, held)
+                    held, key = [], row[:3]
+                held.append(row[3:])
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names)
+        if len(held) > 1 and (out := handle(key, held)):
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names)
+
+    return rows.repartition(tasks, "star", "lo", "hi").sortWithinPartitions("star", "lo", "hi", "node").mapInArrow(run, schema)
+
+
+def _likely(key: tuple, side: np.ndarray, sizes: np.ndarray, levels: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs i < j of a tile that sizes and the likelihood estimate leave possible, with the estimate.
+
+    In a tile of two chunks only pairs across them; pairs within a chunk have a tile of their own.
+    """
+    t = threshold / 100
+    margin = t - SIGMAS * math.sqrt(max(t * (1 - t), 1e-4) / M)
+    found = []
+    for i in range(len(sizes) - 1):
+        others = np.arange(i + 1, len(sizes))
+        if key[1] != key[2]:
+            others = others[side[others] != side[i]]
+        lo, hi = np.minimum(sizes[others], sizes[i]), np.maximum(sizes[others], sizes[i])
+        others = others[100 * lo >= threshold * hi]
+        if not len(others):
+            continue
+        others = others[(levels[others] == levels[i]).sum(1) >= (margin - 0.08) * M]
+        if not len(others):
+            continue
+        plus, minus = (levels[i] > levels[others]).sum(1), (levels[i] < levels[others]).sum(1)
+        e = joint_estimate(plus, minus, M, np.full(len(others), float(sizes[i])), sizes[others].astype(float))
+        ok = e >= margin
+        found.append((np.full(ok.sum(), i), others[ok], e[ok]))
+    if not found:
+        return (np.zeros(0, int),) * 2 + (np.zeros(0),)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _screen(threshold: int) -> Callable[[tuple, list], list]:
+    """Nodes of a tile that may link with another of it, as (star, node)."""
+
+    def handle(key: tuple, rows: list) -> list:
+        i, j, _ = _likely(key, np.array([r[0] for r in rows]), np.array([r[2] for r in rows]), _levels([r[3] for r in rows]), threshold)
+        return [(key[0], rows[at][1]) for at in np.unique(np.concatenate([i, j])).tolist()]
+
+    return handle
+
+
+def _verify(threshold: int) -> Callable[[tuple, list], list]:
+    """(a, b): each node of a tile that full sets link to others of it, and the smallest of those."""
+
+    def handle(key: tuple, rows: list) -> list:
+        sizes = np.array([r[2] for r in rows])
+        i_, j_, e = _likely(key, np.array([r[0] for r in rows]), sizes, _levels([r[3] for r in rows]), threshold)
+        parent = list(range(len(rows)))
 
         def root(i: int) -> int:
             while parent[i] != i:
@@ -176,69 +262,20 @@ def _verify(tiles: DataFrame, threshold: int) -> DataFrame:
                 i = parent[i]
             return i
 
-        margin = threshold / 100 - SIGMAS * math.sqrt(max(threshold / 100 * (1 - threshold / 100), 1e-4) / M)
-        found_i, found_j, found_e = [], [], []
-        for i in range(n):
-            others = np.arange(i + 1, n) if within else np.flatnonzero(side != side[i])
-            if not within:
-                others = others[others > i]
-            lo, hi = np.minimum(sizes[others], sizes[i]), np.maximum(sizes[others], sizes[i])
-            others = others[100 * lo >= threshold * hi]
-            if not len(others):
-                continue
-            equal = (levels[others] == levels[i]).sum(1)
-            others = others[equal >= (margin - 0.08) * M]
-            if not len(others):
-                continue
-            plus, minus = (levels[i] > levels[others]).sum(1), (levels[i] < levels[others]).sum(1)
-            e = joint_estimate(plus, minus, M, np.full(len(others), float(sizes[i])), sizes[others].astype(float))
-            ok = e >= margin
-            found_i.append(np.full(ok.sum(), i))
-            found_j.append(others[ok])
-            found_e.append(e[ok])
-        if not found_i:
-            return
-        i_, j_ = np.concatenate(found_i), np.concatenate(found_j)
-        arrays: dict[int, np.ndarray] = {}
-        for at in np.argsort(-np.concatenate(found_e), kind="stable").tolist():
+        sets: dict[int, np.ndarray] = {}
+        for at in np.argsort(-e, kind="stable").tolist():
             i, j = int(i_[at]), int(j_[at])
             if (a := root(i)) == (b := root(j)):
                 continue
             for x in (i, j):
-                if x not in arrays:
-                    arrays[x] = np.frombuffer(sets[x], dtype=U64)
-            common = len(np.intersect1d(arrays[i], arrays[j], assume_unique=True))
+                if x not in sets:
+                    sets[x] = np.frombuffer(rows[x][4], dtype=U64)
+            common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
             if 100 * common >= threshold * (sizes[i] + sizes[j] - common):
                 parent[max(a, b)] = min(a, b)
-        for i in range(n):
-            if (r := root(i)) != i:
-                yield names[i], names[r]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list = []
-        key = None
+        return [(rows[i][1], rows[r][1]) for i in range(len(rows)) if (r := root(i)) != i]
 
-        def links() -> list[tuple]:
-            if len(held) < 2:
-                return []
-            within = key[1] == key[2]
-            side = np.array([r[3] for r in held])
-            levels = np.frombuffer(b"".join(r[7] for r in held), dtype=np.uint16).reshape(len(held), -1)
-            return list(one([r[4] for r in held], side, np.array([r[5] for r in held]), [r[6] for r in held], levels, within))
-
-        for batch in batches:
-            out: list[tuple] = []
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[:3] != key:
-                    out += links()
-                    held, key = [], row[:3]
-                held.append(row)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*out, strict=True)], ["a", "b"])
-        if out := links():
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*out, strict=True)], ["a", "b"])
-
-    return tiles.select("star", "lo", "hi", "chunk", "node", "n", "elements", "sketch").mapInArrow(run, "a binary, b binary")
+    return handle
 
 
 def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
@@ -247,8 +284,7 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     Alternating large-star and small-star steps, each written to the shared folder;
     the driver sees only whether a step changed anything.
     """
-    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    e = materialize(e, "edges")
+    e = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     if e.isEmpty():
         return e.selectExpr("u as node", "v as root")
     for _ in range(rounds):
@@ -260,6 +296,7 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
         after = materialize(small, "edges")
         # every node points at one smallest node that points nowhere: done
         again = after.groupBy("u").agg(F.count("*").alias("c")).where("c > 1").select("u").unionAll(after.select("v").distinct().join(after.select(F.col("u").alias("v")).distinct(), "v", "left_semi").selectExpr("v as u"))
+        discard(e)
         e = after
         if again.isEmpty():
             break
@@ -271,33 +308,31 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, rows: int
 
     ``threshold`` is in hundredths: documents link when 100 * common >= threshold * union.
     """
+    spark = docs.sparkSession
     made = materialize(_sketched(docs, k), "sketched")
-    nodes = made.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    nodes = materialize(nodes, "nodes")
+    nodes = made.where("name is not null").groupBy("name").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")  # numbered once, then only read
+    sketches = nodes.select("node", "n", "sketch")
     buckets = _bands(nodes, rows)
     heads = buckets.groupBy("bucket").agg(F.min("node").alias("star"), F.count("*").alias("c")).where("c > 1").select("bucket", "star")
-    pairs = buckets.join(heads, "bucket").select("star", "node").distinct()
-    pairs = materialize(pairs, "stars")
-    large = pairs.groupBy("star").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    placed = (
-        pairs.join(large, "star")
-        .withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .select("star", "chunk", "node", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"))
-    )
-    elements = made.where("node is not null").select("node", "n", "elements", "sketch")
-    wanted = pairs.select("node").distinct()
-    elements = elements.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("elements").alias("elements"), F.first("sketch").alias("sketch"))
-    tiles = placed.join(elements, "node")
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tiles = tiles.repartition(tasks, "star", "lo", "hi").sortWithinPartitions("star", "lo", "hi", "node")
-    found = components(_verify(tiles, threshold))
+    stars = materialize(buckets.join(heads, "bucket").select("star", "node").distinct(), "stars")
+    release(spark)
+    tiles = _placed(stars).join(sketches, "node").select("star", "lo", "hi", "chunk", "node", "n", "sketch")
+    likely = materialize(_by_tile(tiles, _screen(threshold), "star long, node long").distinct(), "likely")
+    release(spark)
+    wanted = nodes.join(likely.select("node").distinct(), "node", "left_semi").select("name", "node", "id")
+    texts = docs.select("doc_id", "text").join(wanted.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    elements = _elements(texts, k).join(wanted.select("name", "node"), "name").groupBy("node").agg(F.first("elements").alias("elements"))
+    elements = materialize(elements, "elements")
+    release(spark)
+    tiles = _placed(likely).join(sketches.join(elements, "node"), "node").select("star", "lo", "hi", "chunk", "node", "n", "sketch", "elements")
+    found = components(_by_tile(tiles, _verify(threshold), "a long, b long"))
+    release(spark)
     named = found.join(nodes.select("node", "id"), "node")
     roots = named.groupBy("root").agg(F.min("id").alias("component_id"))
     member = named.join(roots, "root").select("node", "component_id")
-    ids = nodes.select("node", "id").join(member, "node", "left").select("node", F.coalesce("component_id", "id").alias("component_id"))
-    own = made.select("doc_id", "n", "node")
-    out = own.join(ids, "node", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    ids = nodes.select("name", "node", "id").join(member, "node", "left").select("name", F.coalesce("component_id", "id").alias("component_id"))
+    out = made.select("doc_id", "n", "name").join(ids, "name", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
 
 
