@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+from .decontaminate import op10_decontaminate
+from .lm_score import op9_lm_score
 from .near_dedup import op2_near_dedup
+from .neighbours import op7_nearest
+from .packing import op3_packing
+from .quality import op6_quality
+from .substrings import op8_substring_dedup
 from .urls import op1_url_filter
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_near_dedup": op2_near_dedup,
+    "op3_packing": op3_packing,
+    "op6_quality": op6_quality,
+    "op7_nearest": op7_nearest,
+    "op8_substring_dedup": op8_substring_dedup,
+    "op9_lm_score": op9_lm_score,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 OP2_SQL = r"""
@@ -28,6 +40,28 @@ SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, m.c AS component_id, m
 FROM s JOIN (SELECT x, min(y) AS c FROM r GROUP BY x) m ON m.x = s.doc_id
 """
 
+OP10_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), b AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL
+), p AS (
+  SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') AS run
+  FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)
+), g AS (
+  SELECT doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') AS run
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM p) WHERE len(w) >= n)
+), m AS (SELECT g.doc_id, g.i, g.n, p.item FROM g JOIN p ON g.n = p.n AND g.run = p.run),
+h AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM m) GROUP BY 1),
+s AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM m GROUP BY 1)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(s.n_items, 0) AS n_items,
+       sha256(coalesce(s.items, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN s USING (doc_id)
+"""
+
 ORACLE_SQL = {
+    "op10_decontaminate": OP10_SQL,
     "op2_near_dedup": OP2_SQL,
 }

@@ -11,7 +11,6 @@ empty table gives an empty table; other columns of the input are ignored.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -102,15 +101,15 @@ def fit(labelled: DataFrame, steps: int = 500, rate: float = 8.0, l2: float = 1e
     )
     if not rows:
         return [0.0] * BUCKETS, 0.0
-    x, y = np.zeros((len(rows), BUCKETS)), np.array([float(r.label) for r in rows])
-    for i, r in enumerate(rows):
-        np.add.at(x[i], r.x, 1 / math.sqrt(max(1, len(r.x))))
-    used = np.flatnonzero(x.any(0))
-    x = x[:, used]
+    y = np.array([float(r.label) for r in rows])
+    at = np.repeat(np.arange(len(rows)), [len(r.x) for r in rows])
+    used, col = np.unique(np.concatenate([r.x for r in rows]).astype(np.int64), return_inverse=True)
+    value = 1 / np.sqrt(np.bincount(at, minlength=len(rows)))[at]
     weights, speed, bias, speed_b = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
     for _ in range(steps):
-        d = (1 / (1 + np.exp(-np.clip(x @ weights + bias, -30, 30))) - y) / len(y)
-        speed = 0.9 * speed - rate * (x.T @ d + l2 * weights)
+        z = np.bincount(at, weights=weights[col] * value, minlength=len(rows)) + bias
+        d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
+        speed = 0.9 * speed - rate * (np.bincount(col, weights=d[at] * value, minlength=len(used)) + l2 * weights)
         speed_b = 0.9 * speed_b - 0.05 * rate * d.sum()
         weights, bias = weights + speed, bias + speed_b
     full = np.zeros(BUCKETS)
