@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import crc_mod, cut, materialize, table, worker_cache
 from .kernels import utf8, word_hashes
 
-ORDER = 4
+ORDER = 5
 SHARD_KEYS = 4_000_000
 HEAD = 2_000_000
 
@@ -277,7 +277,7 @@ def _scored(docs: DataFrame, model, common, ends: int, shard: int, shards: int,
                     each = np.zeros(len(keys))
                     each[here] = trie.log10(keys[here])
                 score = np.add.reduceat(each, at[:-1]) if n else np.zeros(0)
-                w, by = word_hashes(batch.column(1))
+                w, by = word_hashes(batch.column(1)) if shard == 0 else (np.zeros(0, np.uint64), np.zeros(n + 1, np.int64))
                 w = w.view(np.int64)
                 pos = np.minimum(np.searchsorted(hashes, w), max(len(hashes) - 1, 0))
                 known = hashes[pos] == w if len(hashes) else np.zeros(len(w), bool)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .chat import op4_chat_rotation
 from .decontaminate import op10_decontaminate
+from .html_text import op5_html_text
 from .lm_score import op9_lm_score
 from .near_dedup import op2_near_dedup
 from .neighbours import op7_nearest
@@ -15,6 +17,8 @@ QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_near_dedup": op2_near_dedup,
     "op3_packing": op3_packing,
+    "op4_chat_rotation": op4_chat_rotation,
+    "op5_html_text": op5_html_text,
     "op6_quality": op6_quality,
     "op7_nearest": op7_nearest,
     "op8_substring_dedup": op8_substring_dedup,
@@ -61,7 +65,26 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(h.n_hit, 0) AS n_
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN s USING (doc_id)
 """
 
+OP4_SQL = r"""
+WITH t AS (
+  SELECT conv_id, CAST(floor(turn / 256) AS BIGINT) AS segment, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations
+), p AS (SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role <> 'system'),
+r AS (
+  SELECT t.conv_id, p.perspective, segment, turn, role, text, role = p.perspective AS own,
+         '<|im_start|>' || CASE WHEN role = 'system' THEN 'system' WHEN role = p.perspective THEN 'assistant' ELSE 'user name=' || role END || chr(10) AS head,
+         text || '<|im_end|>' || chr(10) AS body
+  FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id
+), o AS (
+  SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, perspective, segment ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING) AS upto FROM r
+)
+SELECT conv_id, perspective, segment, count(*) AS n_turns, count(*) FILTER (own) AS n_own,
+       string_agg(head || body, '' ORDER BY turn NULLS FIRST, role, text) AS text,
+       coalesce(string_agg(CAST(CAST(upto - length(body) AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(upto AS BIGINT) AS VARCHAR), ',' ORDER BY turn NULLS FIRST, role, text) FILTER (own), '') AS mask
+FROM o GROUP BY conv_id, perspective, segment
+"""
+
 ORACLE_SQL = {
+    "op4_chat_rotation": OP4_SQL,
     "op10_decontaminate": OP10_SQL,
     "op2_near_dedup": OP2_SQL,
 }
