@@ -1,7 +1,8 @@
 """Substring dedup by sliding sentence spans.
 
 A sentence ends after a word that ends in ``.``, ``!`` or ``?``, or before a line
-break.  From every sentence the shortest run of at least ``SENTENCES`` consecutive
+break; one of over ``LONG`` words (a list, a log, text without punctuation) is cut after
+words that their own hash chooses, so that equal passages are cut alike.  From every sentence the shortest run of at least ``SENTENCES`` consecutive
 sentences with at least ``WORDS`` words is hashed, forwards from its first and
 backwards from its last sentence, so a repeated passage of whole sentences is covered
 to both of its ends; a sentence that has ``WORDS`` words alone is a run too.  Hashes
@@ -33,6 +34,8 @@ from .common import cut, materialize, table
 from .kernels import GOLDEN, U64, hash_ranges, lower_table, mix, powers, utf8, words
 
 SENTENCES, WORDS = 2, 20
+#: Words of a sentence from which it is cut, after one word in eight.
+LONG = 60
 
 
 def runs(column: pa.Array, sentences: int = SENTENCES, least: int = WORDS) -> tuple[np.ndarray, ...]:
@@ -47,11 +50,13 @@ def runs(column: pa.Array, sentences: int = SENTENCES, least: int = WORDS) -> tu
     closes = np.isin(raw[stop - 1], np.frombuffer(b".!?", np.uint8))
     closes[:-1] |= breaks[start[1:]] > breaks[stop[:-1]]
     closes[by[1:][by[1:] > by[:-1]] - 1] = True
+    w = hash_ranges(lower_table()[raw], start, stop)
+    sizes = np.diff(np.concatenate([[-1], np.flatnonzero(closes)]))
+    closes |= np.repeat(sizes > LONG, sizes) & (w >> U64(40) & U64(7) == 0)
     last = np.flatnonzero(closes)  # the last word of each sentence
     first = np.concatenate([[0], last[:-1] + 1])
     text_of = np.searchsorted(by, first, side="right") - 1
     own = np.searchsorted(first, by)
-    w = hash_ranges(lower_table()[raw], start, stop)
     up, down = powers(len(w) + 1)
     sums = np.zeros(len(w) + 1, dtype=U64)
     np.cumsum(w * up[: len(w)], out=sums[1:])
