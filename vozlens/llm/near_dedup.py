@@ -9,15 +9,19 @@ betray similar sets.  The steps:
 1. sketch every text; texts with equal sets become one node (partial aggregation);
 2. band the registers; every node meets the smallest node of each of its buckets,
    which makes stars: two nodes that share a bucket share that star;
-3. each star is dealt into tiles of bounded size, where pairs are screened by the joint
-   likelihood estimate: nodes with no partner near the threshold go no further;
-4. the full sets of the rest are compared in tiles of the same kind, likeliest pairs
-   first, until what the tile's links connect is connected;
-5. connected components over the verified links.
+3. every node is held against its star's centre by the joint likelihood estimate; those
+   that stay under the threshold (the minor nodes) are held against the whole star, in
+   tiles of bounded size: nodes with no partner near the threshold go no further;
+4. the full sets of the rest are compared, first with their centre's, which gives a first
+   labelling by connected components; then minor nodes, whose label isn't their centre's,
+   with the whole star, in tiles, likeliest pairs first, until what a tile's links connect
+   is connected;
+5. connected components over all verified links.
 
 No bucket is capped, no pair list is emitted: a tile returns at most one row for
-each of its nodes.  A star of n nodes costs ceil(n / CHUNK)**2 / 2 tiles, which
-Spark spreads over tasks.
+each of its nodes.  Nodes that link with their centre (nearly all of a large group of
+copies) cost one comparison each; only r minor nodes of a star of n cost tiles, about
+r * n / CHUNK**2 of them, which Spark spreads over tasks.
 
 Defined results: null or wordless texts have an empty set and link with nothing;
 fewer than ``k`` words make one shingle of the whole sequence; rows that repeat a
@@ -43,7 +47,7 @@ M, ROWS = 160, 5
 #: The levels of a register are powers of this.
 LEVEL = 1.02
 #: Nodes in a chunk of a star; a tile holds two chunks.
-CHUNK = 256
+CHUNK = 512
 #: Standard errors of the estimate under the threshold from which a pair isn't compared exactly.
 SIGMAS = 5.0
 
@@ -132,15 +136,17 @@ def _sketched(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _elements(docs: DataFrame, k: int) -> DataFrame:
-    """name and elements (as bytes) of the set of every row."""
+    """name and elements of the set of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in cut(whole, "text"):
                 sets = shingle_sets(batch.column(0), k)
-                yield pa.RecordBatch.from_arrays([pa.array([_name(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["name", "elements"])
+                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([_name(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["name", "elements"])
 
-    return docs.select("text").mapInArrow(run, "name binary, elements binary")
+    return docs.select("text").mapInArrow(run, "name binary, elements array<long>")
 
 
 def _name(elements: np.ndarray) -> bytes | None:
@@ -175,15 +181,40 @@ def _levels(sketches: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(sketches), dtype=np.uint16).reshape(len(sketches), -1)
 
 
+def _near_centre(pairs: DataFrame, threshold: int) -> DataFrame:
+    """(star, node, main): whether the estimate lets each node link with its star's centre, which is main itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            star, node, n_a, n_b = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            a, b = _levels(batch.column(4).to_pylist()), _levels(batch.column(5).to_pylist())
+            possible = 100 * np.minimum(n_a, n_b) >= threshold * np.maximum(n_a, n_b)
+            e = joint_estimate((a > b).sum(1), (a < b).sum(1), M, n_a.astype(float), n_b.astype(float))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((star == node) | possible & (e >= _margin(threshold)))], ["star", "node", "main"])
+
+    return pairs.select("star", "node", "n", "n_star", "sketch", "sketch_star").mapInArrow(run, "star long, node long, main boolean")
+
+
+def _margin(threshold: int) -> float:
+    t = threshold / 100
+    return t - SIGMAS * math.sqrt(max(t * (1 - t), 1e-4) / M)
+
+
 def _placed(members: DataFrame) -> DataFrame:
-    """(star, lo, hi, chunk, node): each star's nodes in chunks by hash, and each chunk in the tiles it shares with every chunk."""
-    chunks = members.groupBy("star").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    return (
-        members.join(chunks, "star")
-        .withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .select("star", "chunk", "node", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"))
-    )
+    """(star, lo, hi, chunk, node) of members (star, node, main): each star's nodes in chunks by hash, and each chunk in its tiles.
+
+    The first chunks are of minor nodes and meet every chunk; those of main nodes meet the
+    minor ones only, so a star without minor nodes has no tile.
+    """
+    size = F.count_if(~F.col("main")).alias("minor"), F.count_if(F.col("main")).alias("others")
+    sizes = materialize(members.groupBy("star").agg(*size).where("minor > 0"), "sizes")  # so that the join below is one that Spark can split
+    first, chunks = F.ceil(F.col("minor") / CHUNK).cast("int"), F.ceil(F.col("others") / CHUNK).cast("int")
+    placed = members.join(sizes.select("star", first.alias("first"), chunks.alias("rest")), "star")
+    placed = placed.withColumn("chunk", F.when(F.col("main"), F.col("first") + F.pmod(F.xxhash64("node"), F.greatest("rest", F.lit(1)))).otherwise(F.pmod(F.xxhash64("node"), F.col("first"))).cast("int"))
+    upto = F.col("first") - 1 + F.when(F.col("main"), 0).otherwise(F.col("rest"))
+    return placed.withColumn("other", F.explode(F.sequence(F.lit(0), upto))).select("star", "chunk", "node", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"))
 
 
 def _by_tile(rows: DataFrame, handle: Callable[[tuple, list], list], schema: str) -> DataFrame:
@@ -196,7 +227,7 @@ def _by_tile(rows: DataFrame, handle: Callable[[tuple, list], list], schema: str
         key = None
         for batch in batches:
             out: list = []
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for row in zip(*(_values(c) for c in batch.columns), strict=True):
                 if row[:3] != key:
                     if len(held) > 1:
                         out += handle(key, held)
@@ -210,13 +241,20 @@ def _by_tile(rows: DataFrame, handle: Callable[[tuple, list], list], schema: str
     return rows.repartition(tasks, "star", "lo", "hi").sortWithinPartitions("star", "lo", "hi", "node").mapInArrow(run, schema)
 
 
+def _values(column: pa.Array) -> list:
+    """Python values; sets of elements as arrays."""
+    if not pa.types.is_list(column.type):
+        return column.to_pylist()
+    flat, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return [flat[a:b].copy() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+
 def _likely(key: tuple, side: np.ndarray, sizes: np.ndarray, levels: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs i < j of a tile that sizes and the likelihood estimate leave possible, with the estimate.
 
     In a tile of two chunks only pairs across them; pairs within a chunk have a tile of their own.
     """
-    t = threshold / 100
-    margin = t - SIGMAS * math.sqrt(max(t * (1 - t), 1e-4) / M)
+    margin = _margin(threshold)
     found = []
     for i in range(len(sizes) - 1):
         others = np.arange(i + 1, len(sizes))
@@ -254,7 +292,8 @@ def _verify(threshold: int) -> Callable[[tuple, list], list]:
     def handle(key: tuple, rows: list) -> list:
         sizes = np.array([r[2] for r in rows])
         i_, j_, e = _likely(key, np.array([r[0] for r in rows]), sizes, _levels([r[3] for r in rows]), threshold)
-        parent = list(range(len(rows)))
+        held: dict[int, int] = {}
+        parent = [held.setdefault(r[5], i) for i, r in enumerate(rows)]  # what earlier links connect is connected
 
         def root(i: int) -> int:
             while parent[i] != i:
@@ -262,18 +301,14 @@ def _verify(threshold: int) -> Callable[[tuple, list], list]:
                 i = parent[i]
             return i
 
-        sets: dict[int, np.ndarray] = {}
         for at in np.argsort(-e, kind="stable").tolist():
             i, j = int(i_[at]), int(j_[at])
             if (a := root(i)) == (b := root(j)):
                 continue
-            for x in (i, j):
-                if x not in sets:
-                    sets[x] = np.frombuffer(rows[x][4], dtype=U64)
-            common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            common = len(np.intersect1d(rows[i][4], rows[j][4], assume_unique=True))
             if 100 * common >= threshold * (sizes[i] + sizes[j] - common):
                 parent[max(a, b)] = min(a, b)
-        return [(rows[i][1], rows[r][1]) for i in range(len(rows)) if (r := root(i)) != i]
+        return [(rows[i][1], rows[r][1]) for i in range(len(rows)) if (r := root(i)) != i and (rows[i][5] != rows[r][5])]
 
     return handle
 
@@ -317,16 +352,30 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, rows: int
     heads = buckets.groupBy("bucket").agg(F.min("node").alias("star"), F.count("*").alias("c")).where("c > 1").select("bucket", "star")
     stars = materialize(buckets.join(heads, "bucket").select("star", "node").distinct(), "stars")
     release(spark)
-    tiles = _placed(stars).join(sketches, "node").select("star", "lo", "hi", "chunk", "node", "n", "sketch")
-    likely = materialize(_by_tile(tiles, _screen(threshold), "star long, node long").distinct(), "likely")
+    centres = sketches.select(F.col("node").alias("star"), F.col("n").alias("n_star"), F.col("sketch").alias("sketch_star"))
+    near = materialize(_near_centre(stars.join(sketches, "node").join(centres, "star"), threshold), "near")
+    release(spark)
+    tiles = _placed(near).join(sketches, "node").select("star", "lo", "hi", "chunk", "node", "n", "sketch")
+    straight = near.where("main and star <> node")
+    found = _by_tile(tiles, _screen(threshold), "star long, node long").unionAll(straight.select("star", "node")).unionAll(straight.select("star", F.col("star").alias("node")))
+    likely = materialize(found.distinct(), "likely")
     release(spark)
     wanted = nodes.join(likely.select("node").distinct(), "node", "left_semi").select("name", "node", "id")
     texts = docs.select("doc_id", "text").join(wanted.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
     elements = _elements(texts, k).join(wanted.select("name", "node"), "name").groupBy("node").agg(F.first("elements").alias("elements"))
-    elements = materialize(elements, "elements")
+    sets = materialize(elements.join(sketches, "node"), "elements")
+    release(spark)
+    both = straight.select("star", "node").join(sets.select("node", "n", "elements"), "node").join(sets.select(F.col("node").alias("star"), F.col("n").alias("n_star"), F.col("elements").alias("elements_star")), "star")
+    common = F.size(F.array_intersect("elements", "elements_star"))
+    straight = materialize(both.withColumn("common", common).where(100 * F.col("common") >= threshold * (F.col("n") + F.col("n_star") - F.col("common"))).select(F.col("node").alias("a"), F.col("star").alias("b")), "links")
     release(spark)
-    tiles = _placed(likely).join(sketches.join(elements, "node"), "node").select("star", "lo", "hi", "chunk", "node", "n", "sketch", "elements")
-    found = components(_by_tile(tiles, _verify(threshold), "a long, b long"))
+    labels = components(straight)
+    members = likely.join(labels.withColumnRenamed("root", "label"), "node", "left").join(labels.select(F.col("node").alias("star"), F.col("root").alias("label_star")), "star", "left")
+    members = members.select("star", "node", F.coalesce("label", "node").alias("label"), (F.coalesce("label", "node") == F.coalesce("label_star", "star")).alias("main"))
+    members = materialize(members, "members")
+    tiles = _placed(members).join(sets, "node").join(labels.withColumnRenamed("root", "label"), "node", "left").select("star", "lo", "hi", "chunk", "node", "n", "sketch", "elements", F.coalesce("label", "node").alias("label"))
+    more = materialize(_by_tile(tiles, _verify(threshold), "a long, b long"), "links")
+    found = components(straight.unionAll(more).unionAll(labels.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     release(spark)
     named = found.join(nodes.select("node", "id"), "node")
     roots = named.groupBy("root").agg(F.min("id").alias("component_id"))
