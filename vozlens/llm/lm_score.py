@@ -33,12 +33,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, cut, materialize, table, worker_cache
+from .common import crc_mod, cut, materialize, release, table, worker_cache
 from .kernels import utf8, word_hashes
 
 ORDER = 5
-SHARD_KEYS = 4_000_000
-HEAD = 2_000_000
+SHARD_KEYS = 6_000_000
+HEAD = 1_000_000
 
 
 def gram_keys(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -83,9 +83,9 @@ def counted(docs: DataFrame) -> DataFrame:
                 for kind, keys in ((0, gram_keys(batch.column(0))[0]), (1, word_hashes(batch.column(0))[0].view(np.int64))):
                     if len(keys):
                         held[kind].append(np.unique(keys, return_counts=True))
-                        if sum(len(k) for k, _ in held[kind]) > 4_000_000:
+                        if sum(len(k) for k, _ in held[kind]) > 3_000_000:
                             held[kind] = [merged(kind)]
-                            if len(held[kind][0][0]) > 2_000_000:
+                            if len(held[kind][0][0]) > 1_500_000:
                                 yield out(kind)
         for kind in (0, 1):
             if held[kind]:
@@ -128,6 +128,8 @@ class Trie:
     def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(keys):
             return keys.astype(np.int64), counts.astype(np.int64)
+        if (keys[1:] > keys[:-1]).all():
+            return keys, counts
         order = np.argsort(keys, kind="stable")
         keys, counts = keys[order], counts[order]
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
@@ -182,10 +184,17 @@ class Trie:
         return context, known
 
 
-def _arrays(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """A bounded (key, n) table as arrays, sorted by key."""
-    t = df.select("key", "n").toPandas()
-    key, n = t["key"].to_numpy(np.int64), t["n"].to_numpy(np.int64)
+def _arrays(df: DataFrame, pieces: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """A bounded (key, n) table as arrays, sorted by key; fetched in pieces, so that the driver holds one of them twice, not all."""
+    keys, counts = [], []
+    for p in range(pieces):
+        t = df.where(F.pmod(F.xxhash64("key"), F.lit(pieces)) == p).select("key", "n").toArrow()
+        keys.append(t.column("key").to_numpy())
+        counts.append(t.column("n").to_numpy())
+        del t
+        release(df.sparkSession)
+    key, n = np.concatenate(keys), np.concatenate(counts)
+    del keys, counts
     order = np.argsort(key)
     return key[order], n[order]
 
@@ -238,8 +247,9 @@ def score_texts(docs: DataFrame, train: DataFrame, shard_keys: int = SHARD_KEYS,
     if tail or len(parts) > 1:
         rows = materialize(rows, "scored")
     if len(parts) > 1:
-        first = rows.where("shard = 0").drop("score")
-        rows = first.join(rows.groupBy("uid").agg(F.sum("score").alias("score")), "uid")
+        first = rows.where("shard = 0").drop("score")  # a score is its text's alone, so equal texts share the sum
+        shares = rows.groupBy("name", "shard").agg(F.first("score").alias("score"))
+        rows = first.join(shares.groupBy("name").agg(F.sum("score").alias("score")), "name")
     if tail:
         rare = words.where(F.col("n") < least).select(F.col("key").alias("h"), F.col("n").alias("c"))
         lone = rows.select("uid", F.explode("rare").alias("r")).select("uid", "r.h", "r.k")
@@ -266,9 +276,10 @@ def _scored(docs: DataFrame, model, common, ends: int, shard: int, shards: int,
         logs = np.log10(counts + 1.0)
         uid = TaskContext.get().partitionId() << 33
         for whole in batches:
-            for batch in cut(whole, "text"):
+            for batch in cut(whole, "text", 1_000_000):
                 n = batch.num_rows
                 keys, at = gram_keys(batch.column(1))
+                keys, back = np.unique(keys, return_inverse=True)  # few distinct ones, and in order they are found fast
                 if shards == 1:
                     each = trie.log10(keys)
                 else:  # contexts that no shard has are scored by the first
@@ -276,12 +287,14 @@ def _scored(docs: DataFrame, model, common, ends: int, shard: int, shards: int,
                     here = mine[pair] | ~there[pair] if shard == 0 else mine[pair]
                     each = np.zeros(len(keys))
                     each[here] = trie.log10(keys[here])
-                score = np.add.reduceat(each, at[:-1]) if n else np.zeros(0)
+                score = np.add.reduceat(each[back], at[:-1]) if n else np.zeros(0)
                 w, by = word_hashes(batch.column(1)) if shard == 0 else (np.zeros(0, np.uint64), np.zeros(n + 1, np.int64))
                 w = w.view(np.int64)
-                pos = np.minimum(np.searchsorted(hashes, w), max(len(hashes) - 1, 0))
-                known = hashes[pos] == w if len(hashes) else np.zeros(len(w), bool)
-                value = np.where(known, logs[pos] if len(logs) else 0.0, 0.0)
+                own_words, word = np.unique(w, return_inverse=True)
+                pos = np.minimum(np.searchsorted(hashes, own_words), max(len(hashes) - 1, 0))
+                known = hashes[pos] == own_words if len(hashes) else np.zeros(len(own_words), bool)
+                value = np.where(known, logs[pos] if len(logs) else 0.0, 0.0)[word]
+                known = known[word]
                 sums = np.concatenate([[0.0], np.cumsum(value)])
                 seen = np.concatenate([[0], np.cumsum(known)])
                 n_words = np.diff(by)
@@ -298,13 +311,16 @@ def _scored(docs: DataFrame, model, common, ends: int, shard: int, shards: int,
                         pa.array(np.diff(sums[by]) + math.log10(ends + 1)),
                         pa.array(score),
                         rare,
+                        batch.column(2),
                     ],
-                    ["doc_id", "uid", "shard", "n_tokens", "n_known", "logs_head", "score", "rare"],
+                    ["doc_id", "uid", "shard", "n_tokens", "n_known", "logs_head", "score", "rare", "name"],
                 )
                 uid += n
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, uid long, shard int, n_tokens long, n_known long, logs_head double, score double, rare array<struct<h: long, k: long>>")
+    name = F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))) if shards > 1 else F.lit(None).cast("binary")
+    rows = docs.select("doc_id", "text", name.alias("name"))
+    return rows.mapInArrow(run, f"doc_id {kind}, uid long, shard int, n_tokens long, n_known long, logs_head double, score double, rare array<struct<h: long, k: long>>, name binary")
 
 
 def rare_words(w: np.ndarray, by: np.ndarray, known: np.ndarray) -> pa.Array:
