@@ -18,7 +18,7 @@ NO_REFERENCE, EMPTY_REFERENCE, UNKNOWN_REGION = "janela sem transcrição de ref
 
 
 def edits_py(reference: list[str], hypothesis: list[str]) -> tuple[int, int, int]:
-    """(substitutions, insertions, deletions) of one cheapest alignment; ties prefer a substitution."""
+    """(substitutions, insertions, deletions) of one cheapest alignment; ties prefer a deletion, then an insertion, to a substitution."""
     n, m = len(reference), len(hypothesis)
     codes = {w: i for i, w in enumerate(dict.fromkeys([*reference, *hypothesis]))}
     r, h = np.array([codes[w] for w in reference], int), np.array([codes[w] for w in hypothesis], int)
@@ -30,13 +30,14 @@ def edits_py(reference: list[str], hypothesis: list[str]) -> tuple[int, int, int
         cost[i] = np.minimum.accumulate(row - steps) + steps  # insertions run along the row
     i, j, s, ins, d = n, m, 0, 0, 0
     while i or j:
-        if i and j and cost[i, j] == cost[i - 1, j - 1] + (r[i - 1] != h[j - 1]):
-            s += int(r[i - 1] != h[j - 1])
+        if i and j and r[i - 1] == h[j - 1]:
             i, j = i - 1, j - 1
         elif i and cost[i, j] == cost[i - 1, j] + 1:
             d, i = d + 1, i - 1
-        else:
+        elif j and cost[i, j] == cost[i, j - 1] + 1:
             ins, j = ins + 1, j - 1
+        else:
+            s, i, j = s + 1, i - 1, j - 1
     return s, ins, d
 
 

@@ -12,9 +12,9 @@ from .bindings import REGION_MAP, SPEAKERS, SPOKEN, segments, speakers, spoken,
 from .registry import registry
 
 QUERIES, ORACLE_SQL, query = registry()
-_COUNTS = "CAST(count(DISTINCT speaker_code) AS BIGINT) AS n_speakers, count(*) AS n_segments, round(sum(duration) / 3600, 4) AS hours"
+_COUNTS = "CAST(count(DISTINCT speaker_code) AS BIGINT) AS n_speakers, count(*) AS n_segments, round_even(sum(duration) / 3600, 4) AS hours"
 _BUCKET = "CASE WHEN age >= 16 AND age < 25 THEN '16-24' WHEN age >= 25 AND age < 35 THEN '25-34' WHEN age >= 35 AND age < 45 THEN '35-44' WHEN age >= 45 AND age < 60 THEN '45-59' WHEN age >= 60 AND age < 120 THEN '60-119' ELSE 'fora_das_bordas' END"
-_SPREAD = "min({0}) AS min, round(quantile_cont({0}, 0.25), 4) AS q1, round(quantile_cont({0}, 0.5), 4) AS median, round(quantile_cont({0}, 0.75), 4) AS q3, max({0}) AS max, round(avg({0}), 4) AS mean"
+_SPREAD = "min({0}) AS min, round_even(quantile_cont({0}, 0.25), 4) AS q1, round_even(quantile_cont({0}, 0.5), 4) AS median, round_even(quantile_cont({0}, 0.75), 4) AS q3, max({0}) AS max, round_even(avg({0}), 4) AS mean"
 
 
 @query(f"WITH {SPOKEN} SELECT birth_state, region, {_COUNTS} FROM spoken GROUP BY ALL")
@@ -65,7 +65,7 @@ def audit_one_to_one(spark, d):
     return out.withColumn("examples", F.array_join(F.col("examples").cast("array<string>"), ","))
 
 
-@query("SELECT l_returnflag, count(*) FILTER (l_linestatus = 'F') AS \"n_F\", count(*) FILTER (l_linestatus = 'O') AS \"n_O\", count(*) AS total, count(DISTINCT l_suppkey) AS n_speakers, count(DISTINCT l_suppkey) FILTER (l_linestatus = 'F') AS n_speakers_low, round(100.0 * count(*) FILTER (l_linestatus = 'F') / count(*), 4) AS pct_low FROM lineitem GROUP BY l_returnflag")
+@query("SELECT l_returnflag, count(*) FILTER (l_linestatus = 'F') AS \"n_F\", count(*) FILTER (l_linestatus = 'O') AS \"n_O\", count(*) AS total, count(DISTINCT l_suppkey) AS n_speakers, count(DISTINCT l_suppkey) FILTER (l_linestatus = 'F') AS n_speakers_low, round_even(100.0 * count(*) FILTER (l_linestatus = 'F') / count(*), 4) AS pct_low FROM lineitem GROUP BY l_returnflag")
 def audit_quality_by_region(spark, d):
     return A.quality_by_region(table(spark, d, "lineitem"), "l_returnflag", "l_linestatus", ["F", "O"], "F", "l_suppkey")
 
@@ -82,17 +82,17 @@ def audit_category_by_region(spark, d):
     return A.category_by_region(s.where("age < 40"), "region", "speaker_gender", s.select("speaker_gender"))
 
 
-@query(f"WITH {SPOKEN}, t AS (SELECT speaker_code, region, count(*) AS n FROM spoken GROUP BY ALL) SELECT region, count(*) AS n_speakers, min(n) AS min, round(quantile_cont(n, 0.5), 2) AS median, round(avg(n), 2) AS mean, max(n) AS max, CAST(sum(n) AS BIGINT) AS total, round(max(n) / sum(n), 4) AS max_share FROM t GROUP BY region")
+@query(f"WITH {SPOKEN}, t AS (SELECT speaker_code, region, count(*) AS n FROM spoken GROUP BY ALL) SELECT region, count(*) AS n_speakers, min(n) AS min, round_even(quantile_cont(n, 0.5), 2) AS median, round_even(avg(n), 2) AS mean, max(n) AS max, CAST(sum(n) AS BIGINT) AS total, round_even(max(n) / sum(n), 4) AS max_share FROM t GROUP BY region")
 def audit_segments_per_speaker(spark, d):
     return A.segments_per_speaker(spoken(spark, d).groupBy("speaker_code", "region").agg(F.count("*").alias("n_segments")), "region")
 
 
-@query(f"WITH {SPEAKERS} SELECT region, count(*) AS n_speakers, round(quantile_cont(age, 0.5), 1) AS median_age, round(avg(age), 1) AS mean_age FROM speakers GROUP BY region")
+@query(f"WITH {SPEAKERS} SELECT region, count(*) AS n_speakers, round_even(quantile_cont(age, 0.5), 1) AS median_age, round_even(avg(age), 1) AS mean_age FROM speakers GROUP BY region")
 def audit_age_stats(spark, d):
     return A.age_stats(speakers(spark, d), "region")
 
 
-@query(f"WITH {SPEAKERS} SELECT CASE WHEN grouping(region) = 1 THEN 'geral' ELSE region END AS region, count(*) AS n, count(*) FILTER (speaker_gender = 'MACHINERY') AS n_unknown, round(100.0 * count(*) FILTER (speaker_gender = 'MACHINERY') / count(*), 4) AS pct_unknown FROM speakers GROUP BY ROLLUP (region)")
+@query(f"WITH {SPEAKERS} SELECT CASE WHEN grouping(region) = 1 THEN 'geral' ELSE region END AS region, count(*) AS n, count(*) FILTER (speaker_gender = 'MACHINERY') AS n_unknown, round_even(100.0 * count(*) FILTER (speaker_gender = 'MACHINERY') / count(*), 4) AS pct_unknown FROM speakers GROUP BY ROLLUP (region)")
 def audit_unknown_coverage(spark, d):
     return A.unknown_coverage(speakers(spark, d), "region", "speaker_gender", "MACHINERY")
 

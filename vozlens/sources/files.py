@@ -8,7 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-WINDOW_SCHEMA = T.StructType.fromDDL("window_id string, speaker_code string, audio_name string, split string, region string, age long, segment_file_paths array<string>, start_time double, end_time double, duration_s double, n_segments long, reference_text string, position_index long, n_candidates_for_speaker long, content_sha string")
+_TEXT, _LONG, _DOUBLE = T.StringType(), T.LongType(), T.DoubleType()
+WINDOW_SCHEMA = T.StructType(
+    [
+        *[T.StructField(n, _TEXT) for n in ("window_id", "speaker_code", "audio_name", "split", "region")],
+        T.StructField("age", _LONG),
+        T.StructField("segment_file_paths", T.ArrayType(_TEXT)),
+        *[T.StructField(n, _DOUBLE) for n in ("start_time", "end_time", "duration_s")],
+        T.StructField("n_segments", _LONG),
+        T.StructField("reference_text", _TEXT),
+        *[T.StructField(n, _LONG) for n in ("position_index", "n_candidates_for_speaker")],
+        T.StructField("content_sha", _TEXT),
+    ]
+)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
