@@ -361,7 +361,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, rows: int
     likely = materialize(found.distinct(), "likely")
     release(spark)
     wanted = nodes.join(likely.select("node").distinct(), "node", "left_semi").select("name", "node", "id")
-    texts = docs.select("doc_id", "text").join(wanted.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    texts = docs.select("doc_id", "text").join(wanted.select("id").distinct(), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
     elements = _elements(texts, k).join(wanted.select("name", "node"), "name").groupBy("node").agg(F.first("elements").alias("elements"))
     sets = materialize(elements.join(sketches, "node"), "elements")
     release(spark)

@@ -102,6 +102,8 @@ class Discriminant:
     means: np.ndarray
     whiten: np.ndarray
     offsets: np.ndarray
+    #: Whether there was any labelled row.
+    fitted: bool = True
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """Probability of class 1."""
@@ -141,7 +143,7 @@ def fit(labelled: DataFrame, shrink: float = 0.1, ridge: float = 1e-3) -> Discri
         total[row.label, row.at] = row.part
     counts, everything = total[:, 0], total.sum(0)
     if not everything[0]:
-        return Discriminant(np.zeros((2, d)), np.stack([np.eye(d)] * 2), np.zeros(2))
+        return Discriminant(np.zeros((2, d)), np.stack([np.eye(d)] * 2), np.zeros(2), False)
 
     def moments(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = max(t[0], 1.0)
@@ -191,7 +193,12 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, Discriminant]:
 
 
 def keep_good(docs: DataFrame, model: Discriminant) -> DataFrame:
-    """The rows of ``docs``, all columns unchanged, that the model doesn't reject; one narrow pass, no join."""
+    """The rows of ``docs``, all columns unchanged, that the model doesn't reject; one narrow pass, no join.
+
+    A model that saw no label rejects nothing.
+    """
+    if not model.fitted:
+        return docs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

@@ -133,12 +133,12 @@ def _cleaned(batch: pa.RecordBatch, text: int, marks: list) -> tuple[list, list,
 
 def dedup_substrings(docs: DataFrame) -> DataFrame:
     """All columns of ``docs`` with text cleaned, and n_sentences and n_removed added."""
-    docs = docs.drop("n_sentences", "n_removed", "marks")
+    docs = docs.drop("n_sentences", "n_removed")
     seen = materialize(occurrences(docs), "runs")
     repeated = seen.groupBy("h").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")).where("c > 1").select("h", "first")
     later = seen.join(repeated, "h").where(F.coalesce(F.col("doc_id") > F.col("first"), F.col("first").isNotNull()))
-    marks = later.groupBy(F.col("doc_id").alias("marked")).agg(F.collect_set("h").alias("marks"))  # at most one for each run of a text
-    both = docs.join(marks, F.col("doc_id").eqNullSafe(F.col("marked")), "left").drop("marked")
+    marks = later.groupBy(F.col("doc_id").alias("_marked")).agg(F.collect_set("h").alias("_marks"))  # at most one for each run of a text
+    both = docs.join(marks, F.col("doc_id").eqNullSafe(F.col("_marked")), "left").drop("_marked")
     names = docs.schema.fieldNames()
     text = names.index("text")
 
@@ -150,7 +150,7 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
                 columns[text] = pa.array(texts, batch.schema.field(text).type)
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(gone, pa.int64())], [*names, "n_sentences", "n_removed"])
 
-    return both.select(*names, "marks").mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType())]))
+    return both.select(*names, "_marks").mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType())]))
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
