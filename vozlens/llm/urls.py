@@ -29,7 +29,8 @@ MAX_LABELLED = 20_000
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 
 _GOOD = ("news", "daily", "garden", "museum", "library", "science", "weather", "travel", "history", "recipes", "cycling", "music", "school", "river", "astro", "theatre")
-_BAD = ("cheap-pills", "spam-farm", "casino-bonus", "free-loans", "adult-cams", "replica-watches", "click-bait", "link-farm", "viagra-shop", "win-prizes", "payday-cash", "hot-deals-4u")
+_LURES = ("cheap", "free", "adult", "casino", "spam", "ads", "win", "hot", "click", "fake", "payday", "viagra")
+_WARES = ("pills", "bets", "win", "farm", "track", "loans", "cams", "bonus", "prizes", "watches", "bait", "cash", "deals", "x", "shop")
 _SYLLABLES = ("th", "er", "in", "on", "an", "re", "ti", "es", "ha", "or", "nt", "ed", "he", "le", "ou", "la")
 
 
@@ -44,15 +45,17 @@ def seed_table(spark: SparkSession) -> DataFrame:
     langs = ("en", "de", "fr", "es")
     for i in range(640):
         a, b, c = _SYLLABLES[i % 16], _SYLLABLES[(i * 7 + 3) % 16], _SYLLABLES[(i * 5 + i // 16) % 16]
-        host = _GOOD[i % 16] if i % 3 == 0 else a + b + c
+        host = (_GOOD[i % 16], a + b + c, b + c, f"{_GOOD[i % 16]}-{_GOOD[(i * 3 + i // 16) % 16]}", a + c + b, f"{a + b}-{c}")[i % 6]
         tail = ("", "/", ".html")[i % 3]
         rows.append((f"https://{pre[i % 4]}{host}.{tops[(i // 4) % 4]}/{langs[(i // 2) % 4]}/{i * 37 % 1000}{tail}", 0))
     for i in range(240):
-        bad = _BAD[i % 12]
+        bad = f"{_LURES[i % 12]}-{_WARES[(i + i // 12) % 15]}"
         tail = ("", "/", ".html")[i % 3]
         rows.append((f"http://{pre[i % 4]}{bad}.{tops[(i // 4) % 4]}/{langs[(i // 2) % 4]}/{i * 53 % 1000}{tail}", 1))
-        if i % 4 == 0:
-            rows.append((f"http://{pre[i % 4]}{_SYLLABLES[i % 16]}{_SYLLABLES[i * 3 % 16]}.{tops[i % 4]}/{bad}/{i}", 1))
+        clean = f"{pre[i % 4]}{_SYLLABLES[i % 16]}{_SYLLABLES[i * 3 % 16]}{_SYLLABLES[i * 7 % 16] if i % 2 else ''}.{tops[(i // 3) % 4]}"
+        within = ("", f"{langs[i % 4]}/", f"{_SYLLABLES[i * 5 % 16]}{_SYLLABLES[i % 16]}/")[i % 3]
+        rows.append((f"http://{clean}/{within}{bad}{('/', '-')[i % 2]}{i}{tail}", 1))
+        rows.append((f"http://{clean}/{within}{_GOOD[i % 16]}{('/', '-')[i % 2]}{i}{tail}", 0))
     return spark.createDataFrame(rows, "url string, label int")
 
 
