@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>|<([a-zA-Z][^\s/>]*)[^>]*>", re.S)
+UNENDED = re.compile(r"<[a-zA-Z/!?]")
 ATTRIBUTE = re.compile(r"\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -112,7 +113,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, list[str]]]]:
     while at < end:
         m = TOKEN.search(page, at)
         if m is None:
-            say(page[at:])
+            open_tag = UNENDED.search(page, at)  # a tag that the page's end cuts off is no text
+            say(page[at : open_tag.start() if open_tag else end])
             break
         if m.start() > at:
             say(page[at : m.start()])
