@@ -35,7 +35,7 @@ from .kernels import GOLDEN, U64, hash_ranges, lower_table, mix, powers, utf8, w
 
 SENTENCES, WORDS = 2, 20
 #: Words of a sentence from which it is cut, after one word in eight.
-LONG = 60
+LONG = 24
 
 
 def runs(column: pa.Array, sentences: int = SENTENCES, least: int = WORDS) -> tuple[np.ndarray, ...]:
