@@ -59,12 +59,13 @@ def count_edits(reference: Column, hypothesis: Column, version: str = VERSION, n
 def word_errors(reference: Column, hypothesis: Column) -> Column:
     """All edits of two texts whose words are parted by single spaces, without Python: words become letters for ``levenshtein``."""
     a, b = (F.filter(F.split(t, " "), lambda w: w != "") for t in (reference, hypothesis))
-    vocabulary = F.array_distinct(F.concat(a, b))
+    words = F.struct(a.alias("a"), b.alias("b"), F.array_distinct(F.concat(a, b)).alias("all"))
 
-    def coded(words: Column) -> Column:
-        return F.array_join(F.transform(words, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(vocabulary, w) + 19967), 4, "0")), "UTF-16BE")), "")
+    def coded(side: Column, vocabulary: Column) -> Column:
+        return F.array_join(F.transform(side, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(vocabulary, w) + 19967), 4, "0")), "UTF-16BE")), "")
 
-    return F.levenshtein(coded(a), coded(b)).cast("long")
+    # through an array of one struct, so that the words and the vocabulary are made once a row
+    return F.transform(F.array(words), lambda s: F.levenshtein(coded(s["a"], s["all"]), coded(s["b"], s["all"])).cast("long"))[0]
 
 
 def records(hypotheses: DataFrame, references: DataFrame, key: str = "window_id", text: str = "reference_text", speaker: str = "speaker_code", version: str = VERSION) -> DataFrame:

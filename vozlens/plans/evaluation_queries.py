@@ -225,9 +225,11 @@ def items_review_sheet(spark, d):
 
 # ---- evaluation
 
-def _tasks(spark, d):
+def _tasks(spark, d, spread=False):
     option = lambda k: F.struct(F.lit("ABCD"[k]).alias("label"), F.concat(F.lit(f"opção {k} de "), F.col("o_orderkey").cast("string")).alias("text"), F.lit(k == 0).alias("is_correct"))
     items = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("item_id"), (F.col("o_orderkey") % 1000).cast("string").alias("window_id"), F.lit("Qual?").alias("question"), F.array(*[option(k) for k in range(4)]).alias("alternatives"))
+    if spread:  # prompts and answers are dear, items are small: dealt evenly before they multiply
+        items = items.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "item_id")
     models = spark.createDataFrame([("m0", "text_qa"), ("m1", "text_qa"), ("v0", "audio_qa")], "model_key string, role string")
     part = table(spark, d, "part").where("p_partkey < 1000")
     inputs = part.select(F.col("p_partkey").cast("string").alias("window_id"), F.explode(F.array(F.lit("asr"), F.lit("reference"))).alias("condition"), F.col("p_name").alias("content")).where("condition = 'asr' or window_id % 3 <> 0")
@@ -244,7 +246,7 @@ def run_tasks(spark, d):
 @query()
 def run_evaluation(spark, d):
     """Tasks, answered by a deterministic stand-in, scored and tallied."""
-    t = _tasks(spark, d).withColumn("raw_text", F.when(F.col("error").isNull(), R.fake_answer(F.col("prompt"), 3)))
+    t = _tasks(spark, d, True).withColumn("raw_text", F.when(F.col("error").isNull(), R.fake_answer(F.col("prompt"), 3)))
     return R.cell_stats(R.scored(t))
 
 
