@@ -43,3 +43,10 @@ def test_query(spark, db, name):
 
 def test_names():
     assert plans.FLAGSHIP in plans.QUERIES and set(plans.ORACLE_SQL) <= set(plans.QUERIES)
+
+
+def test_entry(spark):
+    import __spark_entry__ as entry
+
+    assert entry.entry(spark).columns == ["birth_state", "region", "n_speakers", "n_segments", "hours"]
+    assert set(plans.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
