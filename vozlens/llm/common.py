@@ -8,6 +8,7 @@ costs a re-run of its tasks and never a lost table.
 from __future__ import annotations
 
 import gc
+import re
 import sys
 import tempfile
 import uuid
@@ -28,9 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
+    """The folder that driver and executors share; one of our own only where none is set and all runs in one process."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="vozlens-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -50,13 +53,22 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a written intermediate that nothing will read again."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete written intermediates that nothing will read again."""
+    for df in tables:
+        spark = df.sparkSession
+        jvm = spark.sparkContext._jvm
+        for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` is called that."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def crc_mod(key: str | Column, modulus: int) -> Column:
@@ -65,12 +77,15 @@ def crc_mod(key: str | Column, modulus: int) -> Column:
     return F.crc32(col.cast("string").cast("binary")) % modulus
 
 
-def worker_cache() -> dict:
-    """A dictionary that lives as long as the Python worker, whatever task asks for it."""
-    return sys.__dict__.setdefault("_vozlens_worker_cache", {})
+def worker_cache(owner: str) -> dict:
+    """A dictionary of ``owner``'s that outlives a task; Python workers are reused, so what another operator kept goes."""
+    kept = sys.__dict__.setdefault("_vozlens_worker_cache", {})
+    if owner not in kept:
+        kept.clear()
+    return kept.setdefault(owner, {})
 
 
-def cut(batch: pa.RecordBatch, text: str, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def cut(batch: pa.RecordBatch, text: str, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of ``batch`` with at most ``most`` bytes of text each; a longer text comes alone.
 
     Only bounds the size of the arrays made at once: every row is in exactly one slice.

@@ -86,7 +86,7 @@ def scan(docs: DataFrame, items: list[tuple[str, bytes]], window: int = WINDOW,
     keep = [c for c in old if not later or c not in ADDED]
 
     def automaton() -> tuple:
-        kept = worker_cache()
+        kept = worker_cache("decontaminate")
         if kept.get("automaton", (None,))[0] != token:
             import ahocorasick
 

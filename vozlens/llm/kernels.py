@@ -11,8 +11,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import worker_cache
-
 U64 = np.uint64
 #: Odd, so it has an inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -31,15 +29,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i < n, kept per worker."""
-    kept = worker_cache()
-    if len(kept.get("powers", ((),))[0]) < n:
-        size = max(n, 1 << 21)
-        up = np.full(size, BASE, dtype=U64)
-        down = np.full(size, pow(BASE, -1, 1 << 64), dtype=U64)
-        up[0] = down[0] = 1
-        kept["powers"] = np.cumprod(up), np.cumprod(down)
-    return kept["powers"]
+    """BASE**i and BASE**-i modulo 2**64 for i < n; made anew for each slice, so that no worker keeps the longest one's."""
+    up = np.full(n, BASE, dtype=U64)
+    down = np.full(n, pow(BASE, -1, 1 << 64), dtype=U64)
+    up[:1] = down[:1] = 1
+    return np.cumprod(up, out=up), np.cumprod(down, out=down)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -84,8 +78,10 @@ def words(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 def hash_ranges(raw: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each byte range: polynomial by prefix sums modulo 2**64, then mixed."""
     up, down = powers(len(raw) + 1)
+    up = up[:-1]
+    up *= raw.astype(U64) + U64(1)
     sums = np.zeros(len(raw) + 1, dtype=U64)
-    np.cumsum((raw.astype(U64) + U64(1)) * up[: len(raw)], out=sums[1:])
+    np.cumsum(up, out=sums[1:])
     poly = (sums[stop] - sums[start]) * down[start]
     return mix(poly + mix((stop - start).astype(U64) * U64(GOLDEN)))
 

@@ -262,7 +262,7 @@ def _scored(docs: DataFrame, model, common, ends: int, shard: int, shards: int,
     token = uuid.uuid4().hex
 
     def loaded() -> tuple:
-        kept = worker_cache()
+        kept = worker_cache("lm_score")
         if kept.get("trie", (None,))[0] != token:
             grams, counts, pairs, pair_counts = model.value
             kept["trie"] = token, Trie(grams, counts, pairs, pair_counts), np.unique(grams >> 8 & 0xFFFF)

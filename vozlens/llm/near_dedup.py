@@ -26,7 +26,9 @@ r * n / CHUNK**2 of them, which Spark spreads over tasks.
 Defined results: null or wordless texts have an empty set and link with nothing;
 fewer than ``k`` words make one shingle of the whole sequence; rows that repeat a
 doc_id or a text keep their own output row; a null doc_id takes no part in naming
-a component, and such a row is never kept unless its component has no id at all.
+a component, and such a row is never kept unless its component has no id at all;
+an empty table gives an empty table; columns other than doc_id and text are ignored;
+a text of any length is one set, made whole, so a task holds the longest text's set.
 """
 
 from __future__ import annotations
@@ -219,7 +221,6 @@ def _placed(members: DataFrame) -> DataFrame:
 
 def _by_tile(rows: DataFrame, handle: Callable[[tuple, list], list], schema: str) -> DataFrame:
     """``handle(key, rows of a tile)`` for every tile (star, lo, hi); a tile is bounded by two chunks."""
-    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = [c.split(" ")[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +239,7 @@ def _by_tile(rows: DataFrame, handle: Callable[[tuple, list], list], schema: str
         if len(held) > 1 and (out := handle(key, held)):
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names)
 
-    return rows.repartition(tasks, "star", "lo", "hi").sortWithinPartitions("star", "lo", "hi", "node").mapInArrow(run, schema)
+    return rows.repartition("star", "lo", "hi").sortWithinPartitions("star", "lo", "hi", "node").mapInArrow(run, schema)
 
 
 def _values(column: pa.Array) -> list:
@@ -313,28 +314,29 @@ def _verify(threshold: int) -> Callable[[tuple, list], list]:
     return handle
 
 
-def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b); root is the component's smallest node.
 
-    Alternating large-star and small-star steps, each written to the shared folder;
-    the driver sees only whether a step changed anything.
+    Alternating large-star and small-star steps until nothing is left to do, each written to
+    the shared folder; the driver sees only whether a step was the last.  The least neighbour
+    of each node is written before edges meet it, so that Spark can split a hub's edges.
     """
     e = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     if e.isEmpty():
         return e.selectExpr("u as node", "v as root")
-    for _ in range(rounds):
+    done = False
+    while not done:
         both = e.select("u", "v").unionAll(e.selectExpr("v as u", "u as v"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").selectExpr("v as u", "m as v").where("u <> v")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").selectExpr("v as u", "m as v").where("u <> v").unionAll(low.selectExpr("u", "m as v")).distinct()
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = materialize(both.join(least, "u").where("v > u").selectExpr("v as u", "m as v").where("u <> v").distinct(), "large")
+        own = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        small = large.join(own, "u").selectExpr("v as u", "m as v").where("u <> v").unionAll(own.selectExpr("u", "m as v")).distinct()
         after = materialize(small, "edges")
         # every node points at one smallest node that points nowhere: done
         again = after.groupBy("u").agg(F.count("*").alias("c")).where("c > 1").select("u").unionAll(after.select("v").distinct().join(after.select(F.col("u").alias("v")).distinct(), "v", "left_semi").selectExpr("v as u"))
-        discard(e)
+        done = again.isEmpty()
+        discard(e, least, large, own)
         e = after
-        if again.isEmpty():
-            break
     return e.selectExpr("u as node", "v as root").unionAll(e.selectExpr("v as node", "v as root").distinct())
 
 
@@ -376,6 +378,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, rows: int
     tiles = _placed(members).join(sets, "node").join(labels.withColumnRenamed("root", "label"), "node", "left").select("star", "lo", "hi", "chunk", "node", "n", "sketch", "elements", F.coalesce("label", "node").alias("label"))
     more = materialize(_by_tile(tiles, _verify(threshold), "a long, b long"), "links")
     found = components(straight.unionAll(more).unionAll(labels.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    discard(stars, near, likely, sets, straight, labels, members, more)
     release(spark)
     named = found.join(nodes.select("node", "id"), "node")
     roots = named.groupBy("root").agg(F.min("id").alias("component_id"))

@@ -32,7 +32,7 @@ from .common import materialize, table, worker_cache
 
 CAPACITY = 1024
 #: Pretokens that a worker remembers; the table starts anew when it is full.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
@@ -96,7 +96,7 @@ def cut_texts(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> Data
     """A row a text: its ids, whole sequences (start, crc, sequence), and the rest with its rank in (part, rest)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = worker_cache()
+        kept = worker_cache("packing")
         if kept.get("ids", (None,))[0] != tokenizer:
             kept["ids"] = tokenizer, Ids(tokenizer)
         ids = kept["ids"][1]
