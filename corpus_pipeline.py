@@ -1,86 +1,10 @@
-"""A corpus of documents from raw rows to packed sequences, in five stages.
-
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; the caller writes it as
-Parquet and hands what it reads back to the next.  All but the last return the columns
-of ``documents``.
-"""
+"""A corpus of documents from raw rows to packed sequences: the stages of ``vozlens.llm.pipeline`` by name."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from vozlens.llm import decontaminate, near_dedup, packing, quality, substrings
-from vozlens.llm.common import materialize, table
-
-
-#: Names a row while a stage works on it.
-KEY = "_pipeline_key"
-
-
-def aside(docs: DataFrame, names: Sequence[str]) -> tuple[dict[str, str], DataFrame]:
-    """``docs`` with columns of the given names renamed, and how to rename them back."""
-    back = {f"_aside_{c}": c for c in names if c in docs.columns}
-    return back, docs.withColumnsRenamed({c: new for new, c in back.items()})
-
-
-def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the discriminant, fitted on the labels' training fold, doesn't reject."""
-    _, model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.keep_good(docs, model)
-
-
-def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group (five words, 0.8): that of the smallest doc_id, null last.
-
-    Rows are told apart by doc_id and text together, so rows that share a doc_id or have
-    none are judged each on its own text; exactly repeated rows are one document.
-    """
-    named = docs.withColumn(KEY, F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text"))
-    groups = near_dedup.near_duplicates(named.select(F.col(KEY).alias("doc_id"), "text"), k=5, threshold=80).select(F.col("doc_id").alias(KEY), "component_id")
-    ids = named.select(KEY, "doc_id").distinct()
-    first = groups.distinct().join(ids, KEY).groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.col(KEY).alias("key"))).alias("first"))
-    kept = first.select(F.col("first.key").alias(KEY))
-    return named.join(kept, KEY, "left_semi").dropDuplicates([KEY]).select(docs.columns)
-
-
-def cut_repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without sentences of repeated spans; documents of which nothing is left go."""
-    own, docs = aside(docs, ("n_sentences", "n_removed"))
-    out = substrings.dedup_substrings(docs).where("n_removed = 0 or length(trim(text)) > 0").drop("n_sentences", "n_removed")
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.withColumnsRenamed(own)
-
-
-def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark window occurs."""
-    own, docs = aside(docs, decontaminate.ADDED)
-    return decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).where("n_hit = 0").select(docs.columns).withColumnsRenamed(own)
-
-
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 1024 tokens."""
-    return packing.pack(docs)
-
-
-STAGES = [
-    ("quality", reject_low_quality),
-    ("near_dedup", keep_one_of_each_group),
-    ("substring_dedup", cut_repeated_spans),
-    ("decontamination", drop_contaminated),
-    ("packing", pack),
-]
+from vozlens.llm.pipeline import STAGES, run
 
 #: No SQL for a discriminant's scores or for packing; tests hold the stages against brute force.
 ORACLE_SQL = None
 
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
