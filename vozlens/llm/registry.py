@@ -12,6 +12,7 @@ from .packing import op3_packing
 from .quality import op6_quality
 from .substrings import op8_substring_dedup
 from .urls import op1_url_filter
+from .urls import oracle as op1_sql
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
@@ -83,8 +84,24 @@ SELECT conv_id, perspective, segment, count(*) AS n_turns, count(*) FILTER (own)
 FROM o GROUP BY conv_id, perspective, segment
 """
 
+OP7_SQL = """
+WITH e AS (SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+u AS (SELECT * FROM e WHERE len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+p AS (
+  SELECT q.r, q.vec_id AS query_id, c.vec_id, sqrt(list_reduce(list_transform(range(1, len(q.v) + 1), lambda i: (q.v[i] - c.v[i]) * (q.v[i] - c.v[i])), lambda a, b: a + b)) AS score
+  FROM u q JOIN u c ON len(q.v) = len(c.v) AND q.r <> c.r WHERE q.vec_id % 100 = 0
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY r ORDER BY score, vec_id) AS INTEGER) AS rank, vec_id, score FROM p QUALIFY rank <= 10
+"""
+
 ORACLE_SQL = {
     "op4_chat_rotation": OP4_SQL,
     "op10_decontaminate": OP10_SQL,
     "op2_near_dedup": OP2_SQL,
+    "op7_nearest": OP7_SQL,
 }
+
+
+def oracle_sql() -> dict[str, str]:
+    """All SQL; that of the url filter holds the fitted weights, so it is made when asked for."""
+    return ORACLE_SQL | {"op1_url_filter": op1_sql()}
