@@ -12,7 +12,10 @@ fixed number of them, the same everywhere; no page of the input takes part in th
 
 Defined results: null or empty html and pages without an article give an empty text;
 a page of bare text is one block; unclosed and stray tags end where the next block
-begins; repeated rows give the same text; an empty table gives an empty table.
+begins; a head ends where something begins that can't stand in it; an even choice (log
+odds of 0) keeps a node; repeated rows give the same text; an empty table gives an empty
+table; columns other than page_id, url and html are ignored; a page of any length is read
+whole, in time and memory in proportion to it.
 """
 
 from __future__ import annotations
@@ -28,18 +31,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, table
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>|<([a-zA-Z][^\s/>]*)[^>]*>", re.S)
 UNENDED = re.compile(r"<[a-zA-Z/!?]")
 ATTRIBUTE = re.compile(r"\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+#: Silent elements that end by an end tag only.
+PAIRED = re.compile(r"<(/?)(svg|math|canvas|object|audio|video|select|optgroup|option|datalist|button|applet|map)(?=[\s/>])", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr picture source map area".split())
 #: Never text of a page, whatever their place.
 SILENT = frozenset("head title script style noscript template iframe svg math canvas object embed audio video select option optgroup datalist textarea button meta link base applet map".split())
 RAW = frozenset(("script", "style", "textarea", "title", "noscript", "iframe", "template"))
-CLOSED_BY_BLOCK = "p"
+#: What may stand in a head; anything else ends it.
+IN_HEAD = frozenset("title script style meta link base noscript template".split())
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 STOP = frozenset("ul ol dl table body html".split())
 KINDS = ("p", "h", "li", "list", "div", "section", "article", "main", "nav", "header", "footer", "aside", "form", "table", "cell", "quote", "pre", "figure", "body", "other")
@@ -74,44 +80,102 @@ def _attributes(raw: str) -> tuple[int, int]:
     return good, bad
 
 
+class _Open:
+    """The open elements of a page, with what keeps every step short: where each name is open, which are blocks, which lack an end tag."""
+
+    def __init__(self) -> None:
+        self.items: list[tuple[str, int, bool]] = [("", 0, False)]  # name, node, without an end tag
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = [0]
+        self.loose: list[int] = []
+        self.silent = self.links = 0
+
+    def push(self, tag: str, node: int, loose: bool) -> None:
+        self.places.setdefault(tag, []).append(len(self.items))
+        if tag not in INLINE:
+            self.blocks.append(len(self.items))
+        if loose:
+            self.loose.append(len(self.items))
+        self.items.append((tag, node, loose))
+        self.silent += tag in SILENT
+        self.links += tag == "a"
+
+    def cut(self, size: int) -> bool:
+        """Closes all but the first ``size`` elements; tells whether a block of text was among them."""
+        ended = False
+        while len(self.items) > size:
+            tag, _, loose = self.items.pop()
+            self.places[tag].pop()
+            if tag not in INLINE:
+                self.blocks.pop()
+                ended |= tag not in SILENT
+            if loose:
+                self.loose.pop()
+            self.silent -= tag in SILENT
+            self.links -= tag == "a"
+        return ended
+
+    def last(self, tags) -> int:
+        """Where the innermost of the named elements is; 0 if none is open."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+
+def _unclosed(page: str) -> set[int]:
+    """Where start tags of silent elements stand that no end tag of their own follows before the next of the same name."""
+    out: set[int] = set()
+    open_: dict[str, int] = {}
+    for m in PAIRED.finditer(page):
+        tag = m[2].lower()
+        if m[1]:
+            open_.pop(tag, None)
+            continue
+        if tag in open_:
+            out.add(open_[tag])
+        open_[tag] = m.start()
+    return out.union(open_.values())
+
+
 def parse(page: str) -> tuple[list[Node], list[tuple[int, list[str]]]]:
-    """Block nodes (the first is the root) and the text blocks in page order, as (node, pieces)."""
+    """Block nodes (the first is the root) and the text blocks in page order, as (node, pieces).
+
+    Time is in proportion to the page, however its tags are nested or left open.  As in
+    browsers a head ends at the first thing that can't stand in it, and foreign content or a
+    control without an end tag of its own ends where a block begins.
+    """
     nodes = [Node("body", -1, 0)]
-    stack: list[tuple[str, int]] = [("", 0)]  # open elements; inline ones share the node of their block
+    open_ = _Open()
     blocks: list[tuple[int, list[str]]] = []
     current: list[str] | None = None
-    silent = links = 0
-    at, end = 0, len(page)
+    at, end, last = 0, len(page), page.rfind(">")
+    unclosed = _unclosed(page)
 
     def say(text: str) -> None:
         nonlocal current
-        if silent or not text:
+        if not text:
+            return
+        if open_.items[-1][0] == "head" and not text.isspace():
+            open_.cut(len(open_.items) - 1)
+            current = None
+        if open_.silent:
             return
         text = html.unescape(text) if "&" in text else text
-        node = nodes[stack[-1][1]]
+        home = open_.items[-1][1]
+        node = nodes[home]
         if current is None:
             if text.isspace():
                 return
             current = []
-            blocks.append((stack[-1][1], current))
+            blocks.append((home, current))
         current.append(text)
         n = len(text)
         node.texts += n
-        if links:
+        if open_.links:
             node.links += n
         node.stops += text.count(".") + text.count("!") + text.count("?")
         node.commas += text.count(",")
 
-    def pop() -> None:
-        nonlocal silent, links, current
-        tag, _ = stack.pop()
-        silent -= tag in SILENT
-        links -= tag == "a"
-        if tag not in INLINE:
-            current = None
-
     while at < end:
-        m = TOKEN.search(page, at)
+        m = TOKEN.search(page, at) if at <= last else None
         if m is None:
             open_tag = UNENDED.search(page, at)  # a tag that the page's end cuts off is no text
             say(page[at : open_tag.start() if open_tag else end])
@@ -124,57 +188,66 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, list[str]]]]:
             continue
         tag = tag.lower()
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    while len(stack) > k:
-                        pop()
-                    break
-                if tag in INLINE and stack[k][0] not in INLINE:
-                    break  # an inline end tag closes nothing outside its block
+            k = open_.last((tag,))
+            if k and (tag not in INLINE or k > open_.blocks[-1]):  # an inline end tag closes nothing outside its block
+                if open_.cut(k):
+                    current = None
             continue
+        if open_.items[-1][0] == "head" and tag not in IN_HEAD:
+            open_.cut(len(open_.items) - 1)
+            current = None
         if tag == "br":
             if current is not None:
                 current.append(" ")
             continue
         block = tag not in INLINE
         if block:
-            while len(stack) > 1 and (stack[-1][0] in INLINE and any(t == "p" for t, _ in stack) or stack[-1][0] == CLOSED_BY_BLOCK):
-                if not any(t == "p" for t, _ in stack):
-                    break
-                pop()
-            if tag in SAME:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in SAME[tag]:
-                        while len(stack) > k:
-                            pop()
-                        break
-                    if stack[k][0] in STOP:
-                        break
-            current = None
+            if open_.loose and tag in _KIND:
+                open_.cut(open_.loose[0])
+            if open_.items[open_.blocks[-1]][0] == "p" and tag not in SILENT:
+                open_.cut(open_.blocks[-1])
+            if tag in SAME and (k := open_.last(SAME[tag])) > open_.last(STOP):
+                open_.cut(k)
+            if tag not in SILENT:  # those stand within a line
+                current = None
         if tag in VOID:
             continue
         if tag in RAW:
-            close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            at = close.end() if close else end
+            close = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
+            stop = page.find(">", close.end()) if close else -1
+            at = stop + 1 if stop >= 0 else end
             continue
-        home = stack[-1][1]
+        home = open_.items[-1][1]
         nodes[home].tags += 1
         if block and tag not in SILENT and tag != "html" and not (tag == "body" and home == 0):
             good, bad = _attributes(m[3] or "")
             nodes.append(Node(tag, home, nodes[home].depth + 1, good, bad))
             nodes[home].children.append(len(nodes) - 1)
             home = len(nodes) - 1
-        stack.append((tag, home))
-        silent += tag in SILENT
-        links += tag == "a"
+        open_.push(tag, home, tag in SILENT and tag != "head" and m.start() in unclosed)
     return nodes, blocks
 
 
-FEATURES = len(KINDS) * 2 + 30
+#: Nodes whose features are held at once.
+CHUNK = 4_096
 
 
 def features(nodes: list[Node]) -> np.ndarray:
     """One row a node."""
+    return _stacked(*_columns(nodes))
+
+
+def _stacked(columns: list[np.ndarray], code: np.ndarray, above: np.ndarray, rows: slice = slice(None)) -> np.ndarray:
+    """The features of some nodes: columns, and the kinds of the node and its parent as indicators."""
+    code, above = code[rows], above[rows]
+    one = np.zeros((len(code), 2 * len(KINDS)))
+    one[np.arange(len(code)), code] = 1
+    one[np.arange(len(code)), len(KINDS) + above] = 1
+    return np.column_stack([*(c[rows] for c in columns), one])
+
+
+def _columns(nodes: list[Node]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The numbers of all nodes, and the kinds of each and of its parent."""
     n = len(nodes)
     own = np.array([(v.texts, v.links, v.stops, v.commas, v.tags, 1) for v in nodes], dtype=float)
     sub = own.copy()
@@ -211,10 +284,7 @@ def features(nodes: list[Node]) -> np.ndarray:
         np.log1p(sub[:, 4]), sub[:, 0] / total, sub[:, 0] / size[parent], deep[:, 0], deep[:, 1], deep[:, 2], deep[:, 3], deep[:, 4], good, bad,
         np.array([v.depth for v in nodes], dtype=float), *place.T, *above.T,
     ]
-    one = np.zeros((n, 2 * len(KINDS)))
-    one[np.arange(n), code] = 1
-    one[np.arange(n), len(KINDS) + code[parent]] = 1
-    return np.column_stack([*rows, one])
+    return rows, code, code[parent]
 
 
 class Boosted:
@@ -293,12 +363,17 @@ def decode(nodes: list[Node], odds: np.ndarray) -> np.ndarray:
 def texts(pages: list[str | None], model: Boosted) -> list[str]:
     """The main text of each page."""
     parsed = [parse(p or "") for p in pages]
-    parts = [features(nodes) for nodes, _ in parsed]
-    odds = model.predict(np.concatenate(parts)) if parts else np.zeros(0)
+    parts = [_columns(nodes) for nodes, _ in parsed]
+    odds = [np.concatenate([model.predict(_stacked(*part, slice(a, a + CHUNK))) for a in range(0, len(part[1]), CHUNK)]) for part in parts if len(part[1]) > CHUNK]
+    few = [part for part in parts if len(part[1]) <= CHUNK]  # small pages go through the trees together
+    together = model.predict(np.concatenate([_stacked(*part) for part in few])) if few else np.zeros(0)
     out, at = [], 0
-    for nodes, blocks in parsed:
-        keep = decode(nodes, odds[at : at + len(nodes)])
-        at += len(nodes)
+    for (nodes, blocks), part in zip(parsed, parts, strict=True):
+        if len(part[1]) > CHUNK:
+            own = odds.pop(0)
+        else:
+            own, at = together[at : at + len(nodes)], at + len(nodes)
+        keep = decode(nodes, own)
         lines = (" ".join("".join(pieces).split()) for node, pieces in blocks if keep[node])
         out.append("\n".join(line for line in lines if line))
     return out
@@ -452,11 +527,12 @@ def extract(pages: DataFrame, model: Boosted | None = None) -> DataFrame:
     model = model or trained()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, batch.num_rows, 64):
-                part = batch.slice(a, 64)
-                found = texts(part.column(2).to_pylist(), model)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.string())], ["page_id", "url", "text"])
+        for whole in batches:
+            for batch in cut(whole, "html"):
+                for a in range(0, batch.num_rows, 32):
+                    part = batch.slice(a, 32)
+                    found = texts(part.column(2).to_pylist(), model)
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.string())], ["page_id", "url", "text"])
 
     kinds = {c: pages.schema[c].dataType.simpleString() for c in ("page_id", "url")}
     out = pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string")
