@@ -108,7 +108,7 @@ class _Open:
             self.places[tag].pop()
             if tag not in INLINE:
                 self.blocks.pop()
-                ended |= tag not in SILENT
+                ended |= not self.silent
             if loose:
                 self.loose.pop()
             self.silent -= tag in SILENT
@@ -204,11 +204,11 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, list[str]]]]:
         if block:
             if open_.loose and tag in _KIND:
                 open_.cut(open_.loose[0])
-            if open_.items[open_.blocks[-1]][0] == "p" and tag not in SILENT:
-                open_.cut(open_.blocks[-1])
-            if tag in SAME and (k := open_.last(SAME[tag])) > open_.last(STOP):
-                open_.cut(k)
-            if tag not in SILENT:  # those stand within a line
+            if not open_.silent and tag not in SILENT:  # silent elements stand within a line
+                if open_.items[open_.blocks[-1]][0] == "p":
+                    open_.cut(open_.blocks[-1])
+                if tag in SAME and (k := open_.last(SAME[tag])) > open_.last(STOP):
+                    open_.cut(k)
                 current = None
         if tag in VOID:
             continue
@@ -219,7 +219,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, list[str]]]]:
             continue
         home = open_.items[-1][1]
         nodes[home].tags += 1
-        if block and tag not in SILENT and tag != "html" and not (tag == "body" and home == 0):
+        if block and not open_.silent and tag not in SILENT and tag != "html" and not (tag == "body" and home == 0):
             good, bad = _attributes(m[3] or "")
             nodes.append(Node(tag, home, nodes[home].depth + 1, good, bad))
             nodes[home].children.append(len(nodes) - 1)
