@@ -23,7 +23,6 @@ RULES = ("nfc", "caixa_baixa", "marcacoes_de_anotacao", "numeros_por_extenso", "
 VERSION = "v1"
 
 _TAGS = re.compile(r"\[[^\]]*\]|\([^)]*\)|<[^>]*>")
-_NUMBERS = re.compile(r"\d{1,3}(?:\.\d{3})+(?:,\d+)?|\d+(?:,\d+)?")
 
 
 def _group(n: int) -> str:
@@ -65,11 +64,39 @@ def _digits(text: str) -> str:
     return " ".join(UNITS[int(d)] for d in text)
 
 
-def _number(match: re.Match) -> str:
-    whole, _, part = match[0].replace(".", "").partition(",")
-    code = len(whole) > 1 and whole[0] == "0" or len(whole) > 12
-    words = _digits(whole) if code else spelled(int(whole))
-    return f" {words} vírgula {_digits(part)} " if part else f" {words} "
+def _run(text: str, at: int) -> int:
+    """Where the digits that begin at ``at`` end."""
+    while at < len(text) and text[at].isdecimal():
+        at += 1
+    return at
+
+
+def with_numbers(text: str) -> str:
+    """Every number in words: points before three digits part thousands, a comma starts digits that are read one by one.
+
+    So are whole parts that begin with 0 or have more than twelve digits.
+    """
+    out, at = [], 0
+    while at < len(text):
+        stop = _run(text, at)
+        if stop == at:
+            out.append(text[at])
+            at += 1
+            continue
+        digits = text[at:stop]
+        if len(digits) <= 3:
+            while text[stop : stop + 1] == "." and _run(text, stop + 1) >= stop + 4:
+                digits += text[stop + 1 : stop + 4]
+                stop += 4
+        code = digits[0] == "0" and len(digits) > 1 or len(digits) > 12
+        words = [_digits(digits) if code else spelled(int(digits))]
+        end = _run(text, stop + 1) if text[stop : stop + 1] == "," else stop
+        if end > stop + 1:
+            words += ["vírgula", _digits(text[stop + 1 : end])]
+            stop = end
+        out.append(f" {' '.join(words)} ")
+        at = stop
+    return "".join(out)
 
 
 def _mark(c: str) -> str:
@@ -86,7 +113,7 @@ _STEPS: dict[str, Callable[[str], str]] = {
     "nfc": lambda t: unicodedata.normalize("NFC", t),
     "caixa_baixa": str.lower,
     "marcacoes_de_anotacao": lambda t: _TAGS.sub(" ", t),
-    "numeros_por_extenso": lambda t: _NUMBERS.sub(_number, t),
+    "numeros_por_extenso": with_numbers,
     "pontuacao": lambda t: "".join(map(_mark, t)),
     "marcas_de_hesitacao": lambda t: " ".join(w for w in t.split() if w not in HESITATIONS),
     "espacos": lambda t: " ".join(t.split()),
