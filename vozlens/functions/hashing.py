@@ -7,6 +7,7 @@ import json
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,6 +57,16 @@ def _swap(i: int) -> Callable[[Column], Column]:
     return lambda s: F.transform(s["o"], lambda v, k: F.when(k == i, s["o"][s["j"]]).when(k == s["j"], s["o"][i]).otherwise(v))
 
 
+def filter_permutation(item: Column, model: Column, run: Column, seed: int, n: int) -> Column:
+    """The order of n alternatives in one run of the text-only filter: a PCG64 permutation seeded by (seed, item, model, run)."""
+
+    @F.pandas_udf("array<int>")
+    def orders(items: pd.Series, models: pd.Series, runs: pd.Series) -> pd.Series:
+        return pd.Series([derived_generator(seed, i, m, int(r)).permutation(n).tolist() for i, m, r in zip(items, models, runs, strict=True)])
+
+    return orders(item.cast("string"), model.cast("string"), run.cast("long"))
+
+
 def permutation_py(item: str, model: str, seed: int, n: int, shuffle: bool = True) -> list[int]:
     order = list(range(n))
     if not shuffle or n <= 1:

@@ -6,7 +6,8 @@ bootstrap works on (cell, speaker) rows, whatever the number of trials.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -18,9 +19,10 @@ from ..functions.hashing import stable_hash_py
 from ..functions.statistics import expit
 from .ledger import tagged
 
-# Reasons, exposed and baseline region.
+# Reasons, exposed and baseline region, modes of a ceiling.
 UNREADABLE, NO_SPEAKER = "resposta não interpretável (parsed_label ausente)", "falante ausente da tabela de falantes"
 EXPOSED, BASELINE = "NE", "SE"
+CEILING_MODES = ("constructed", "human_sample")
 CELL = ("model_key", "condition")
 
 
@@ -83,24 +85,65 @@ def interval(values: Column, level: float = 0.95) -> list[Column]:
 
 
 def fit_logit(x: np.ndarray, k: np.ndarray, n: np.ndarray, steps: int = 100) -> np.ndarray | None:
-    """Binomial logit by Newton steps over rows of k successes in n; None without rows, variance, rank or convergence."""
+    """Binomial logit over rows of k successes in n, by Newton steps, else by a quasi-Newton search; None without rows, variance, rank or convergence."""
     there = n > 0
     x, k, n = x[there], k[there], n[there]
     if not len(x) or k.sum() == 0 or k.sum() == n.sum() or np.linalg.matrix_rank(x) < x.shape[1]:
         return None
-    beta = np.zeros(x.shape[1])
+    beta = _newton(x, k[:, None], n[:, None], steps)[0]
+    if np.isfinite(beta).all():
+        return beta
+    return _quasi_newton(x, k, n)
+
+
+def _newton(x: np.ndarray, k: np.ndarray, n: np.ndarray, steps: int = 100) -> np.ndarray:
+    """Logits of many samples at once: k and n have a column a sample; a row of NaN where the steps don't converge."""
+    p, m = x.shape[1], k.shape[1]
+    beta, done, lost = np.zeros((m, p)), np.zeros(m, bool), np.zeros(m, bool)
+    outer = (x[:, :, None] * x[:, None, :]).reshape(len(x), p * p)
+    for _ in range(steps):
+        some = np.flatnonzero(~done & ~lost)
+        if not len(some):
+            break
+        mean = expit(x @ beta[some].T)
+        weight = n[:, some] * mean * (1 - mean)
+        hessian = (outer.T @ weight).T.reshape(-1, p, p)
+        bad = ~(np.linalg.cond(hessian) < 1e14)
+        hessian[bad] = np.eye(p)
+        move = np.linalg.solve(hessian, (x.T @ (k[:, some] - n[:, some] * mean)).T[:, :, None])[:, :, 0]
+        beta[some] += move
+        bad |= ~np.isfinite(beta[some]).all(1) | (np.abs(beta[some]).max(1) > 50)
+        lost[some[bad]] = True
+        done[some[~bad & (np.abs(move).max(1) < 1e-9)]] = True
+    beta[~done] = np.nan
+    return beta
+
+
+def _quasi_newton(x: np.ndarray, k: np.ndarray, n: np.ndarray, steps: int = 500) -> np.ndarray | None:
+    """The same fit by BFGS with halved steps, over centred and scaled columns; None if the gradient doesn't vanish."""
+    scale = np.where(x.std(0) > 0, x.std(0), 1.0)
+    z = x / scale
+    beta, inverse = np.zeros(z.shape[1]), np.eye(z.shape[1]) / max(n.sum(), 1)
+
+    def loss(b: np.ndarray) -> float:
+        eta = z @ b
+        return float((n * np.logaddexp(0, eta) - k * eta).sum())
+
+    slope = z.T @ (n * expit(z @ beta) - k)
     for _ in range(steps):
-        p = expit(x @ beta)
-        hessian = x.T @ (x * (n * p * (1 - p))[:, None])
-        try:
-            move = np.linalg.solve(hessian, x.T @ (k - n * p))
-        except np.linalg.LinAlgError:
-            return None
-        beta = beta + move
-        if not np.isfinite(beta).all() or np.abs(beta).max() > 50:
-            return None
-        if np.abs(move).max() < 1e-9:
-            return beta
+        if np.abs(slope).max() < 1e-7 * max(n.sum(), 1):
+            mean = expit(z @ beta)
+            sound = np.abs(beta / scale).max() <= 50 and (n * mean * (1 - mean)).max() > 1e-3  # else the classes are parted
+            return beta / scale if sound else None
+        way, t, at = -inverse @ slope, 1.0, loss(beta)
+        while loss(beta + t * way) > at + 1e-4 * t * (slope @ way) and t > 1e-12:
+            t /= 2
+        after = z.T @ (n * expit(z @ (beta + t * way)) - k)
+        s, y = t * way, after - slope
+        beta, slope = beta + s, after
+        if (sy := s @ y) > 1e-14:
+            left = np.eye(len(s)) - np.outer(s, y) / sy
+            inverse = left @ inverse @ left.T + np.outer(s, s) / sy
     return None
 
 
@@ -120,46 +163,94 @@ def design(frame: pd.DataFrame, covariates: Sequence[str]) -> np.ndarray:
 def marginal_effect(x: np.ndarray, k: np.ndarray, n: np.ndarray) -> float | None:
     """Mean prediction with everyone exposed less that with no one, over the rows fitted."""
     beta = fit_logit(x, k, n)
-    if beta is None:
-        return None
+    return None if beta is None else float(_effects(x, n[:, None], beta[None, :])[0])
+
+
+def _effects(x: np.ndarray, n: np.ndarray, beta: np.ndarray) -> np.ndarray:
     one, zero = x.copy(), x.copy()
     one[:, 1], zero[:, 1] = 1, 0
-    return float(((expit(one @ beta) - expit(zero @ beta)) * n).sum() / n.sum())
+    return ((expit(one @ beta.T) - expit(zero @ beta.T)) * n).sum(0) / n.sum(0)
+
+
+def marginal_effects(x: np.ndarray, k: np.ndarray, n: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The effect under each column of weights, NaN where it can't be estimated; the fits run together."""
+    kw, nw = k[:, None] * weights, n[:, None] * weights
+    out = np.full(weights.shape[1], np.nan)
+    there = (nw > 0).astype(float)
+    outer = (x[:, :, None] * x[:, None, :]).reshape(len(x), -1)
+    ranks = np.linalg.matrix_rank((outer.T @ there).T.reshape(-1, x.shape[1], x.shape[1]), hermitian=True)
+    sound = np.flatnonzero((kw.sum(0) > 0) & (kw.sum(0) < nw.sum(0)) & (ranks == x.shape[1]))
+    if len(sound):
+        beta = _newton(x, kw[:, sound], nw[:, sound])
+        fitted = np.isfinite(beta).all(1)
+        out[sound[fitted]] = _effects(x, nw[:, sound[fitted]], beta[fitted])
+        for i in sound[~fitted]:
+            effect = marginal_effect(x, kw[:, i], nw[:, i])
+            out[i] = np.nan if effect is None else effect
+    return out
 
 
-def gap_table(rows: DataFrame, draws: DataFrame, keys: Sequence[str] = CELL, covariates: Sequence[str] = ("region", "age", "speaker_gender"), level: float = 0.95, max_failures: float = 0.05, blocks: int = 16) -> DataFrame:
+def gap_table(rows: DataFrame, draws: DataFrame, keys: Sequence[str] = CELL, covariates: Sequence[str] = ("region", "age", "speaker_gender"), level: float = 0.95, max_failures: float = 0.05, blocks: int = 16, statistic: Callable[[np.ndarray, np.ndarray, np.ndarray], float | None] | None = None) -> DataFrame:
     """Adjusted gap with interval, raw accuracies and counts of each cell; a cell that can't be estimated has a null gap.
 
-    Each (cell, block of draws) is one task: the cell's speakers with their weights in the
-    block's draws. The point estimate is draw -1, with weight 1 for everyone.
+    Each (cell, block of draws) is one task: a row a speaker of the cell, with an array of its
+    weights in the block's draws. The point estimate is draw -1, with weight 1 for everyone.
+    ``statistic`` takes the place of the marginal effect: of a design, successes and trials.
     """
     sums = by_speaker(rows, keys, [c for c in dict.fromkeys(["region", *covariates])])
     point = sums.select("speaker_code").distinct().select(F.lit(-1).cast("long").alias("b"), "speaker_code", F.lit(1).cast("long").alias("weight"))
     weights = draws.select(F.col("b").cast("long"), "speaker_code", F.col("weight").cast("long")).unionByName(point)
-    blocked = weights.withColumn("block", F.pmod("b", F.lit(blocks)))
-    both = sums.join(blocked, "speaker_code")
+    blocked = weights.groupBy("speaker_code", F.pmod("b", F.lit(blocks)).alias("block")).agg(F.collect_list("b").alias("bs"), F.collect_list("weight").alias("ws"))  # a number a draw of the block
+    # every speaker of the cell meets every block, so that all see the same draws
+    numbers = draws.select(F.col("b").cast("long").alias("b")).unionByName(rows.sparkSession.createDataFrame([(-1,)], "b long")).distinct().groupBy(F.pmod("b", F.lit(blocks)).alias("block")).agg(F.array_sort(F.collect_set("b")).alias("all"))
+    both = sums.join(F.broadcast(numbers)).join(blocked, ["speaker_code", "block"], "left")
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keys)
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        people = frame.drop(columns=["b", "weight"]).drop_duplicates("speaker_code").sort_values("speaker_code").reset_index(drop=True)
+    def run(people: pd.DataFrame) -> pd.DataFrame:
+        people = people.sort_values("speaker_code").reset_index(drop=True)
         x = design(people, covariates)
         k, n = people["n_correct"].to_numpy(float), people["n_trials"].to_numpy(float)
-        at = people["speaker_code"].searchsorted(frame["speaker_code"])
-        out = []
-        for b, rows_of in frame.groupby("b").indices.items():
-            w = np.zeros(len(people))
-            w[at[rows_of]] = frame["weight"].to_numpy()[rows_of]
-            out.append((*[people[c].iloc[0] for c in keys], b, marginal_effect(x, k * w, n * w)))
-        return pd.DataFrame(out, columns=[*keys, "b", "gap"])
-
-    fits = both.groupBy(*keys, "block").applyInPandas(run, f"{kinds}, b long, gap double")
+        bs = np.array(people["all"].iloc[0])
+        w = np.zeros((len(people), len(bs)))
+        for i, (b, v) in enumerate(zip(people["bs"], people["ws"], strict=True)):
+            if b is not None:
+                w[i, np.searchsorted(bs, b)] = v
+        if statistic is None:
+            gaps = marginal_effects(x, k, n, w)
+        else:
+            gaps = np.array([np.nan if (g := statistic(x, k * w[:, i], n * w[:, i])) is None else g for i in range(len(bs))])
+        found = [None if np.isnan(g) else float(g) for g in gaps]
+        return pd.DataFrame([(*[people[c].iloc[0] for c in keys], int(b), g) for b, g in zip(bs, found, strict=True)], columns=[*keys, "b", "gap"])
+
+    fits = both.groupBy(*keys, "block").applyInPandas(run, f"{kinds}, b long, gap double").withColumn("gap", F.when(~F.isnan("gap"), F.col("gap")))
     replicate = F.when(F.col("b") >= 0, F.col("gap"))
     found = fits.groupBy(*keys).agg(F.max(F.when(F.col("b") == -1, F.col("gap"))).alias("gap"), *interval(replicate, level), F.count_if((F.col("b") >= 0) & F.col("gap").isNull()).alias("n_failed"), F.count_if(F.col("b") >= 0).alias("n_resamples"))
     sound = F.col("gap").isNotNull() & (F.col("n_failed") <= max_failures * F.col("n_resamples"))
-    found = found.select(*keys, *[F.when(sound, F.col(c)).alias(c) for c in ("gap", "ci_low", "ci_high")], "n_failed", "n_resamples")
+    warning = F.when(F.col("gap").isNull(), "the point estimate failed").when(~sound, F.concat(F.col("n_failed").cast("string"), F.lit(" of "), F.col("n_resamples").cast("string"), F.lit(" resamples failed")))
+    found = found.select(*keys, *[F.when(sound, F.col(c)).alias(c) for c in ("gap", "ci_low", "ci_high")], "n_failed", "n_resamples", warning.alias("warning"))
+    return raw_gaps(rows, keys).join(found, list(keys), "left")
+
+
+def raw_gaps(rows: DataFrame, keys: Sequence[str] = CELL) -> DataFrame:
+    """Accuracy of either region, their difference, trials and speakers of each cell."""
+    sums = by_speaker(rows, keys, ["region"])
     side = lambda r: F.col("region") == r
     raw = sums.groupBy(*keys).agg(*[(F.sum(F.when(side(r), F.col("n_correct"))) / F.sum(F.when(side(r), F.col("n_trials")))).alias(f"accuracy_{r}") for r in (EXPOSED, BASELINE)], F.sum("n_trials").alias("n_trials"), F.count_distinct("speaker_code").alias("n_speakers"))
-    return raw.join(found, list(keys), "left").withColumn("raw_gap", F.col(f"accuracy_{EXPOSED}") - F.col(f"accuracy_{BASELINE}"))
+    return raw.withColumn("raw_gap", F.col(f"accuracy_{EXPOSED}") - F.col(f"accuracy_{BASELINE}"))
+
+
+@dataclass(frozen=True)
+class Ceiling:
+    """The best accuracy that a task allows, and how it is known."""
+
+    mode: str = "constructed"
+    value: float = 1.0
+
+    def __post_init__(self) -> None:
+        if self.mode not in CEILING_MODES:
+            raise ValueError(f"unknown ceiling mode {self.mode!r}")
+        if not 0 <= self.value <= 1:
+            raise ValueError(f"a ceiling of {self.value} is outside [0, 1]")
 
 
 def paired(rows: DataFrame, conditions: Sequence[str] = ("asr", "reference")) -> DataFrame:
@@ -169,7 +260,7 @@ def paired(rows: DataFrame, conditions: Sequence[str] = ("asr", "reference")) ->
     return own.join(both, ["model_key", "item_id"], "left_semi")
 
 
-def decomposition(rows: DataFrame, draws: DataFrame, ceiling: float = 1.0, level: float = 0.95) -> DataFrame:
+def decomposition(rows: DataFrame, draws: DataFrame, ceiling: Ceiling = Ceiling(), level: float = 0.95) -> DataFrame:
     """Loss to recognition and to reasoning, by model and scope (``geral`` and each region), with intervals over the same draws."""
     own = paired(rows)
     scopes = own.withColumn("scope", F.explode(F.array(F.lit("geral"), F.col("region"))))
@@ -179,16 +270,16 @@ def decomposition(rows: DataFrame, draws: DataFrame, ceiling: float = 1.0, level
     point = sums.select("speaker_code").distinct().select(F.lit(-1).cast("long").alias("b"), "speaker_code", F.lit(1).cast("long").alias("weight"))
     weights = draws.select(F.col("b").cast("long"), "speaker_code", F.col("weight").cast("long")).unionByName(point)
     each = sums.join(weights, "speaker_code").groupBy("model_key", "scope", "b").agg(*[F.sum(F.coalesce(c, F.lit(0)) * F.col("weight")).alias(c) for c in ("k_asr", "n_asr", "k_ref", "n_ref")])
-    each = each.withColumns({"asr": F.try_divide("k_asr", "n_asr"), "ref": F.try_divide("k_ref", "n_ref")}).withColumns({"d_asr": F.col("ref") - F.col("asr"), "d_reasoning": ceiling - F.col("ref")})
+    each = each.withColumns({"asr": F.try_divide("k_asr", "n_asr"), "ref": F.try_divide("k_ref", "n_ref")}).withColumns({"d_asr": F.col("ref") - F.col("asr"), "d_reasoning": ceiling.value - F.col("ref")})
     point_of = lambda c: F.max(F.when(F.col("b") == -1, F.col(c)))
     drawn = lambda c: F.when(F.col("b") >= 0, F.col(c))
     (a0, a1), (r0, r1) = interval(drawn("d_asr"), level), interval(drawn("d_reasoning"), level)
     return each.groupBy("model_key", "scope").agg(point_of("asr").alias("accuracy_asr"), point_of("ref").alias("accuracy_reference"), point_of("d_asr").alias("delta_asr"), point_of("d_reasoning").alias("delta_reasoning"), a0.alias("asr_low"), a1.alias("asr_high"), r0.alias("reasoning_low"), r1.alias("reasoning_high"), (F.count_if((F.col("b") >= 0) & F.col("d_asr").isNull()) + F.count_if((F.col("b") >= 0) & F.col("d_reasoning").isNull())).alias("n_failed"))
 
 
-def check_identity(table: DataFrame, ceiling: float = 1.0, tolerance: float = 1e-9) -> DataFrame:
+def check_identity(table: DataFrame, ceiling: Ceiling = Ceiling(), tolerance: float = 1e-9) -> DataFrame:
     """Rows of a decomposition that don't add up to the ceiling; none for a sound one."""
-    return table.where(F.abs(F.col("accuracy_asr") + F.col("delta_asr") + F.col("delta_reasoning") - ceiling) > tolerance)
+    return table.where(F.abs(F.col("accuracy_asr") + F.col("delta_asr") + F.col("delta_reasoning") - ceiling.value) > tolerance)
 
 
 def subsample_items(rows: DataFrame, n: int, seed: int, numpy_draws: bool = False) -> DataFrame:
@@ -210,6 +301,17 @@ def subsample_items(rows: DataFrame, n: int, seed: int, numpy_draws: bool = Fals
     return rows.join(chosen, ["speaker_code", "item_id"], "left_semi")
 
 
+def short_speakers(rows: DataFrame, n: int) -> DataFrame:
+    """One row: speakers with fewer than n items, who keep all of theirs, and speakers in all."""
+    items = rows.select("speaker_code", "item_id").distinct().groupBy("speaker_code").agg(F.count("*").alias("n"))
+    return items.agg(F.count_if(F.col("n") < n).alias("n_short"), F.count("*").alias("n_speakers"))
+
+
+def uncovered(rows: DataFrame, edges: Sequence[float], duration: str = "window_duration_s") -> DataFrame:
+    """One row: trials whose duration is in no bin, and trials in all."""
+    return rows.agg(F.count_if(duration_bin(F.col(duration), edges).isNull()).alias("n_uncovered"), F.count("*").alias("n_trials"))
+
+
 def duration_bin(duration: Column, edges: Sequence[float]) -> Column:
     """``[a, b)``, the last closed; null outside."""
     if len(edges) < 2 or list(edges) != sorted(set(edges)):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import math
 import wave
 from collections.abc import Sequence
 
@@ -43,6 +44,19 @@ def plan(index: DataFrame, wanted: DataFrame, key: str, shard: str, group: str)
     return found, wanted.select(key).distinct().join(index, key, "left_anti")
 
 
+def fetch_plan(index: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """(path, row_group, wanted, n_wanted, n_bytes) of the row groups of ``index`` that hold a wanted key; a group is bounded by its file's layout."""
+    own = index.join(wanted.select(F.col(key).cast("string").alias(key)).distinct(), key, "left_semi")
+    return own.groupBy("path", "row_group").agg(F.collect_set(key).alias("wanted"), F.count_distinct(key).alias("n_wanted"), F.first("n_bytes").alias("n_bytes"))
+
+
+def plan_bytes(index: DataFrame, planned: DataFrame) -> DataFrame:
+    """One row: bytes of the planned row groups, of all of them, and what the plan avoids."""
+    all_ = index.select("path", "row_group", "n_bytes").distinct().agg(F.sum("n_bytes").alias("bytes_all"), F.count("*").alias("groups_all"))
+    own = planned.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("bytes_planned"), F.count("*").alias("groups_planned"))
+    return own.crossJoin(all_).withColumn("bytes_avoided", F.col("bytes_all") - F.col("bytes_planned"))
+
+
 def apportion(rows: DataFrame, keys: Sequence[str], weight: str, total: Column, order: str) -> DataFrame:
     """Adds ``share``: whole numbers in proportion to the weights that add up to ``total`` by largest remainder; ties by ``order``."""
     group = Window.partitionBy(*keys)
@@ -63,14 +77,24 @@ def samples_of(raw: bytes) -> tuple[np.ndarray, int]:
 
 
 def resample(samples: np.ndarray, rate: int, target: int = RATE) -> np.ndarray:
-    """Linear resampling after a moving average over the step where the rate falls."""
+    """Polyphase resampling by the reduced ratio of the rates, with a Kaiser-windowed low-pass (beta 5, ten zero crossings a side)."""
     if rate == target or not len(samples):
         return samples
-    if rate > target:
-        width = max(1, round(rate / target))
-        samples = np.convolve(samples, np.ones(width) / width, "same")
-    n = round(len(samples) * target / rate)
-    return np.interp(np.arange(n) * rate / target, np.arange(len(samples)), samples)
+    common = math.gcd(rate, target)
+    up, down = target // common, rate // common
+    half = 10 * max(up, down)
+    at = np.arange(-half, half + 1)
+    taps = np.sinc(at / max(up, down)) * np.kaiser(2 * half + 1, 5.0)
+    taps *= up / taps.sum()
+    n = -(-len(samples) * up // down)
+    centre = np.arange(n) * down + half  # in the sequence of rate * up, where the filter is centred
+    phase, newest = centre % up, centre // up
+    out = np.zeros(n)
+    for k in range(-(-len(taps) // up)):  # taps that meet a sample, for all outputs at once
+        tap, sample = phase + k * up, newest - k
+        ok = (tap < len(taps)) & (sample >= 0) & (sample < len(samples))
+        out[ok] += taps[tap[ok]] * samples[sample[ok]]
+    return out
 
 
 def wav_bytes(samples: np.ndarray, rate: int = RATE) -> bytes:

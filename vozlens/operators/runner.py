@@ -40,24 +40,27 @@ def shown(alternatives: Column, order: Column) -> Column:
     return F.transform(order, lambda source, i: F.struct(F.get(letters, i).alias("label"), F.get(alternatives, source)["text"].alias("text"), F.get(alternatives, source)["is_correct"].alias("is_correct")))
 
 
-def tasks(items: DataFrame, conditions: Sequence[str], models: DataFrame, inputs: DataFrame, seed: int, n: int = 4, shuffle: bool = True) -> DataFrame:
+def tasks(items: DataFrame, conditions: Sequence[str], models: DataFrame, inputs: DataFrame, seed: int, n: int = 4, shuffle: bool = True, prompt_builder: Callable[..., Column] = answer_prompt) -> DataFrame:
     """A row for each item, condition and model of the condition's role, with prompt, order shown and cache key.
 
     ``models`` has model_key and role; ``inputs`` has window_id, condition, content and, for
-    ``asr``, asr_hash. A missing input makes an error row, never a call. The conditions and
-    models are lists from configuration, so the product is bounded by the items.
+    ``asr``, asr_hash, and may have input_error, why there is no content. A missing input makes
+    an error row, never a call. The conditions and models are lists from configuration, so the
+    product is bounded by the items. ``prompt_builder`` gets question, alternatives as shown,
+    transcript and whether there is audio.
     """
     spark = items.sparkSession
     kinds = spark.createDataFrame([(i, c, ROLES[c]) for i, c in enumerate(conditions)], "condition_order int, condition string, role string")
     cells = F.broadcast(kinds.join(models, "role"))
-    rows = items.crossJoin(cells).join(inputs.select("window_id", "condition", "content", "asr_hash"), ["window_id", "condition"], "left")
+    why = F.col("input_error") if "input_error" in inputs.columns else F.lit(None).cast("string").alias("input_error")
+    rows = items.crossJoin(cells).join(inputs.select("window_id", "condition", "content", "asr_hash", why), ["window_id", "condition"], "left")
     rows = rows.withColumn("permutation", permutation(F.col("item_id"), F.col("model_key"), seed, n, shuffle))
     rows = rows.withColumn("shown", shown(F.col("alternatives"), F.col("permutation")))
     right = F.filter("shown", lambda a: a["is_correct"])
     audio = F.col("condition") == "audio"
-    prompt = answer_prompt(F.col("question"), F.col("shown"), F.when(~audio, F.col("content")), audio & F.col("content").isNotNull())
+    prompt = prompt_builder(F.col("question"), F.col("shown"), F.when(~audio, F.col("content")), audio & F.col("content").isNotNull())
     key = stable_hash(item_id=F.col("item_id"), model=F.col("model_key"), condition=F.col("condition"), prompt_version=F.lit(PROMPT_VERSION), permutation=F.col("permutation"), extra=F.struct(F.col("asr_hash").alias("hypothesis")))
-    return rows.withColumns({"correct_label": F.get(right, F.lit(0))["label"], "prompt": F.when(F.col("content").isNotNull(), prompt), "cache_key": key, "error": F.when(F.col("content").isNull(), F.concat(F.lit(NO_INPUT + ": "), "condition"))}).drop("role", "shown")
+    return rows.withColumns({"correct_label": F.get(right, F.lit(0))["label"], "prompt": F.when(F.col("content").isNotNull(), prompt), "cache_key": key, "error": F.when(F.col("content").isNull(), F.coalesce("input_error", F.concat(F.lit(NO_INPUT + ": "), "condition")))}).drop("role", "shown", "input_error")
 
 
 def split_by_cache(rows: DataFrame, cache: DataFrame, key: str = "cache_key") -> tuple[DataFrame, DataFrame]:
@@ -71,16 +74,17 @@ def fake_answer(prompt: Column, seed: int = 0, n: int = 4) -> Column:
 
 
 def with_retry(call: Callable[[str], str], retries: int, sleep: Callable[[float], None] = time.sleep) -> Callable[[str], str]:
-    """Calls again after 0.5, 1, 2, … seconds, 60 at most; the last error is raised."""
+    """Calls again after 0.5, 1, 2, … seconds, or as long as the error's ``retry_after`` says, 60 at most; the last error is raised."""
 
     def run(x: str) -> str:
         for attempt in range(retries + 1):
             try:
                 return call(x)
-            except Exception:
+            except Exception as e:
                 if attempt == retries:
                     raise
-                sleep(min(0.5 * 2**attempt, 60.0))
+                asked = getattr(e, "retry_after", None)
+                sleep(min(0.5 * 2**attempt if asked is None else max(float(asked), 0.0), 60.0))
         raise AssertionError
 
     return run

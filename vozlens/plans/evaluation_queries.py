@@ -6,16 +6,20 @@ from pyspark.sql import functions as F
 
 from ..functions import answers, hashing, text
 from ..operators import analysis as S
+from ..operators import audio as A
 from ..operators import items as I
+from ..operators import recognition as Q
 from ..operators import runner as R
 from ..operators import wer
 from ..operators.ledger import ledger
-from ..sources.corpus import footprint
+from ..config import AnalysisConfig
+from ..sources.corpus import fetch, footprint, index_shards
 from .bindings import RECORDS, SEED, SPEAKERS, TRIALS, records, speakers, table
 from .registry import registry
 
 QUERIES, ORACLE_SQL, query = registry()
-DRAWS = 50
+#: Draws of the queries that have SQL, and of the gap tables, as configured.
+DRAWS, RESAMPLES = 50, AnalysisConfig().n_resamples
 
 
 def _trials(spark, d):
@@ -24,12 +28,19 @@ def _trials(spark, d):
 
 # ---- text
 
-@query()
+_HESITATIONS = ", ".join(f"'{w}'" for w in text.HESITATIONS)
+#: The rules in SQL, but for spelled numbers, of which these texts have none.
+_RULES = rf"""r AS (SELECT conv_id, turn, nfc_normalize(text) AS t1 FROM conversations), r2 AS (SELECT *, lower(t1) AS t2 FROM r), r3 AS (SELECT *, regexp_replace(t2, '\[[^\]]*\]|\([^)]*\)|<[^>]*>', ' ', 'g') AS t3 FROM r2),
+r5 AS (SELECT *, regexp_replace(regexp_replace(t3, '[''’`´"]', '', 'g'), '[^\p{{L}}\p{{Nd}}\s]', ' ', 'g') AS t5 FROM r3),
+r6 AS (SELECT *, array_to_string(list_filter(string_split_regex(t5, '\s+'), lambda w: w <> '' AND w NOT IN ({_HESITATIONS})), ' ') AS t6 FROM r5)"""
+
+
+@query(f"WITH {_RULES} SELECT conv_id, turn, t6 AS normalized FROM r6")
 def text_normalized(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", text.normalize(F.col("text")).alias("normalized"))
 
 
-@query()
+@query(f"WITH {_RULES} SELECT conv_id, turn, unnest({list(text.RULES)}) AS rule, unnest([t1, t2, t3, t3, t5, t6, t6]) AS text FROM r6")
 def text_trace(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.explode(text.trace(F.col("text"))).alias("t")).select("conv_id", "turn", "t.*")
 
@@ -58,7 +69,10 @@ def answers_filter_label(spark, d):
     return a.select("o_orderkey", answers.extract_label(F.col("t"), "ABCD").alias("label"))
 
 
-@query()
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 6 IN (0, 1, 2, 4) AND o_custkey % 5 < 4 THEN chr(CAST(65 + o_custkey % 5 AS INTEGER)) END AS label,
+CASE WHEN o_orderkey % 6 IN (3, 5) OR o_custkey % 5 = 4 THEN NULL WHEN o_orderkey % 6 IN (0, 4) THEN 'resposta_e_so_a_letra' WHEN o_orderkey % 6 = 1 THEN 'letra_entre_delimitadores' ELSE 'marcador_explicito' END AS strategy,
+CASE WHEN o_orderkey % 6 = 5 THEN 'vazio' WHEN o_orderkey % 6 = 3 THEN 'sem_letra' WHEN o_custkey % 5 < 4 THEN NULL WHEN o_orderkey % 6 = 1 THEN 'sem_letra' WHEN o_orderkey % 6 = 2 THEN 'sem_letra' ELSE 'letra_fora_do_vocabulario' END AS reason,
+CASE WHEN o_orderkey % 6 IN (3, 5) THEN '' WHEN o_custkey % 5 < 4 THEN chr(CAST(65 + o_custkey % 5 AS INTEGER)) WHEN o_orderkey % 6 IN (0, 4) THEN 'E' ELSE '' END AS candidates FROM orders""")
 def answers_label_cascade(spark, d):
     a = _answers(spark, d)
     return a.select("o_orderkey", answers.parse_label(F.col("t"), "ABCD").alias("p")).select("o_orderkey", "p.label", "p.strategy", "p.reason", F.array_join("p.candidates", ",").alias("candidates"))
@@ -114,7 +128,8 @@ def wer_table(spark, d):
     return out.withColumns({c: F.round(c, 9) for c in ("wer_pooled", "wer_macro")})
 
 
-@query()
+@query(f"""WITH {_RULES}, g AS (SELECT conv_id, turn, text AS t0, string_split(t6, ' ') AS w FROM r6 JOIN conversations USING (conv_id, turn))
+SELECT conv_id || ':' || turn AS window_id, conv_id AS speaker_code, 'asr1' AS model_key, CAST(len(regexp_extract_all(t0, '\\bthe\\b')) AS BIGINT) AS substitutions, CAST(0 AS BIGINT) AS insertions, CAST(0 AS BIGINT) AS deletions, CAST(len(w) AS BIGINT) AS n_reference_words, 'v1' AS normalizer_version, CAST(NULL AS VARCHAR) AS drop_reason FROM g""")
 def wer_records(spark, d):
     c = table(spark, d, "conversations")
     key = F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
@@ -160,7 +175,11 @@ def items_generation_ledger(spark, d):
     return ledger(I.validated(_generated(spark, d), 1), "reason")
 
 
-@query()
+_SOUND = """e AS (SELECT 'w' || event_id AS w FROM events WHERE event_id % 10 IN (0, 7) AND event_id % 11 <> 10),
+v AS (SELECT w, [{'label': 'A', 'text': 'opção 1', 'is_correct': true, 'source_window_id': w}, {'label': 'B', 'text': 'opção 2', 'is_correct': false, 'source_window_id': 'c2'}, {'label': 'C', 'text': 'opção 3', 'is_correct': false, 'source_window_id': 'c3'}, {'label': 'D', 'text': 'opção 4', 'is_correct': false, 'source_window_id': 'c4'}] AS a FROM e)"""
+
+
+@query(f"WITH {_SOUND} SELECT w || '__i01' AS item_id, 'Qual?' AS question, CAST(to_json(a) AS VARCHAR) AS alternatives FROM v")
 def items_validated(spark, d):
     return I.validated(_generated(spark, d), 1).where("reason is null").select("item_id", "question", F.to_json("alternatives").alias("alternatives"))
 
@@ -190,11 +209,11 @@ def _sheet(spark, d):
     o = table(spark, d, "orders")
     items = o.select(F.col("o_orderkey").cast("string").alias("item_id"), "o_orderpriority")
     decision = F.when(F.col("o_orderstatus") == "F", "accepted").when(F.col("o_orderstatus") == "O", "rejected").otherwise("talvez")
-    sheet = o.where("o_orderkey % 10 <> 3").select((F.col("o_orderkey") - F.when(F.col("o_orderkey") % 100 == 7, 1).otherwise(0)).cast("string").alias("item_id"), decision.alias("decision"), F.when(F.col("o_orderkey") % 20 > 4, "motivo").otherwise(" ").alias("reason"), F.when(F.col("o_orderkey") % 50 == 1, "x").otherwise("1,5").alias("minutes"))
+    sheet = o.where("o_orderpriority <> '3-MEDIUM'").select((F.col("o_orderkey") - F.when(F.col("o_orderkey") % 100 == 7, 1).otherwise(0)).cast("string").alias("item_id"), decision.alias("decision"), F.when(F.col("o_orderkey") % 20 > 4, "motivo").otherwise(" ").alias("reason"), F.when(F.col("o_orderkey") % 50 == 1, "x").otherwise("1,5").alias("minutes"))
     return items, sheet
 
 
-@query("""WITH s AS (SELECT CAST(o_orderkey - CASE WHEN o_orderkey % 100 = 7 THEN 1 ELSE 0 END AS VARCHAR) AS item_id, count(*) AS n FROM orders WHERE o_orderkey % 10 <> 3 GROUP BY 1)
+@query("""WITH s AS (SELECT CAST(o_orderkey - CASE WHEN o_orderkey % 100 = 7 THEN 1 ELSE 0 END AS VARCHAR) AS item_id, count(*) AS n FROM orders WHERE o_orderpriority <> '3-MEDIUM' GROUP BY 1)
 SELECT 'item_duplicado' AS problem, count(*) AS n FROM s WHERE n > 1
 UNION ALL SELECT 'item_nao_revisado', count(*) FROM orders WHERE CAST(o_orderkey AS VARCHAR) NOT IN (SELECT item_id FROM s)""")
 def items_review_problems(spark, d):
@@ -217,7 +236,10 @@ def items_eligible_ledger(spark, d):
     return ledger(R.eligible(rows))
 
 
-@query()
+_WIDE = ", ".join(f"a[{i + 1}].text AS alternative_{x}, a[{i + 1}].is_correct AS is_correct_{x}, a[{i + 1}].source_window_id AS source_window_id_{x}" for i, x in enumerate("ABCD"))
+
+
+@query(f"WITH {_SOUND} SELECT w || '__i01' AS item_id, w AS window_id, 's' AS speaker_code, 'NE' AS region, 'Qual?' AS question, {_WIDE}, CAST(NULL AS VARCHAR) AS generator_model, CAST(NULL AS VARCHAR) AS prompt_version, 'kept' AS filter_status, CAST(NULL AS VARCHAR) AS filter_reason, '' AS decision, '' AS reason, '' AS minutes FROM v")
 def items_review_sheet(spark, d):
     made = I.validated(_generated(spark, d), 1).where("reason is null").withColumns({"filter_status": F.lit("kept"), "speaker_code": F.lit("s"), "region": F.lit("NE")})
     return I.review_sheet(made)
@@ -231,25 +253,77 @@ def _tasks(spark, d, spread=False):
     if spread:  # prompts and answers are dear, items are small: dealt evenly before they multiply
         items = items.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "item_id")
     models = spark.createDataFrame([("m0", "text_qa"), ("m1", "text_qa"), ("v0", "audio_qa")], "model_key string, role string")
-    part = table(spark, d, "part").where("p_partkey < 1000")
-    inputs = part.select(F.col("p_partkey").cast("string").alias("window_id"), F.explode(F.array(F.lit("asr"), F.lit("reference"))).alias("condition"), F.col("p_name").alias("content")).where("condition = 'asr' or window_id % 3 <> 0")
+    both = F.explode(F.array(F.lit("asr"), F.lit("reference"))).alias("condition")
+    inputs = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("window_id"), both, "p_name", "p_size")
+    inputs = inputs.withColumn("content", F.when((F.col("condition") == "asr") | (F.col("p_size") > 15), F.col("p_name")))  # small parts have no reference
     inputs = inputs.withColumn("asr_hash", F.when(F.col("condition") == "asr", F.sha2("content", 256)))
     return R.tasks(items, ["asr", "reference", "audio"], models, inputs, SEED)
 
 
-@query("""WITH w AS (SELECT CAST(p_partkey AS VARCHAR) AS window_id, p_partkey % 3 <> 0 AS ref FROM part WHERE p_partkey < 1000), c AS (SELECT * FROM (VALUES ('asr', 'm0'), ('asr', 'm1'), ('reference', 'm0'), ('reference', 'm1'), ('audio', 'v0')) v(condition, model_key))
-SELECT condition, model_key, count(*) AS n, count(*) FILTER (condition = 'audio' OR w.window_id IS NULL OR condition = 'reference' AND NOT ref) AS n_errors FROM orders CROSS JOIN c LEFT JOIN w ON w.window_id = CAST(o_orderkey % 1000 AS VARCHAR) GROUP BY ALL""")
+_TASKS = """w AS (SELECT CAST(p_partkey AS VARCHAR) AS window_id, p_name, p_size > 15 AS ref FROM part),
+c AS (SELECT * FROM (VALUES ('asr', 'm0', 0), ('asr', 'm1', 0), ('reference', 'm0', 1), ('reference', 'm1', 1), ('audio', 'v0', 2)) v(condition, model_key, condition_order)),
+t AS (SELECT CAST(o_orderkey AS VARCHAR) AS item_id, condition, model_key, condition_order, CASE WHEN condition = 'asr' OR condition = 'reference' AND ref THEN p_name END AS content
+  FROM orders CROSS JOIN c LEFT JOIN w ON w.window_id = CAST(o_orderkey % 1000 AS VARCHAR))"""
+
+
+@query(f"WITH {_TASKS} SELECT condition, model_key, count(*) AS n, count(*) FILTER (content IS NULL) AS n_errors FROM t GROUP BY ALL")
 def run_tasks(spark, d):
     return _tasks(spark, d).groupBy("condition", "model_key").agg(F.count("*").alias("n"), F.count("error").alias("n_errors"))
 
 
-@query()
+@query(f"WITH {_TASKS} SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY condition_order, model_key) - 1 AS ordinal, condition, model_key FROM t")
+def run_ordered(spark, d):
+    """Tasks in the order of emission."""
+    return Q.in_order(_tasks(spark, d)).select("item_id", F.col("ordinal").cast("long").alias("ordinal"), "condition", "model_key")
+
+
+def _swapped(i: int) -> str:
+    return f"list_transform(range(0, 4), lambda k: CASE WHEN k = {i} THEN o[j{i} + 1] WHEN k = j{i} THEN o[{i} + 1] ELSE o[k + 1] END)"
+
+
+_SHOWN = f"""h AS (SELECT *, sha256(sha256('{{{{"item_id":"' || item_id || '","model_key":"' || model_key || '","seed":{SEED}}}}}') || ':0') AS s FROM t WHERE content IS NOT NULL),
+j AS (SELECT *, CAST('0x' || substr(s, 25, 8) AS BIGINT) % 4 AS j3, CAST('0x' || substr(s, 17, 8) AS BIGINT) % 3 AS j2, CAST('0x' || substr(s, 9, 8) AS BIGINT) % 2 AS j1 FROM h),
+a AS (SELECT *, [0, 1, 2, 3] AS o FROM j), b AS (SELECT * EXCLUDE o, {_swapped(3)} AS o FROM a), e AS (SELECT * EXCLUDE o, {_swapped(2)} AS o FROM b), p AS (SELECT * EXCLUDE o, {_swapped(1)} AS o FROM e),
+q AS (SELECT *, list_position(o, 0) - 1 AS correct, 'Responda à questão de múltipla escolha.' || chr(10) || 'TRANSCRIÇÃO DA FALA' || chr(10) || content || chr(10) || 'PERGUNTA' || chr(10) || 'Qual?' || chr(10) || 'ALTERNATIVAS' || chr(10)
+  || array_to_string(list_transform(range(1, 5), lambda i: chr(64 + CAST(i AS INTEGER)) || ') opção ' || o[i] || ' de ' || item_id), chr(10)) || chr(10) || 'Responda apenas com a letra: A, B, C ou D.' AS prompt FROM p),
+f AS (SELECT condition, model_key, CAST(CAST('0x' || substr(sha256('3:' || prompt), 1, 16) AS UBIGINT) % 4 AS BIGINT) = correct AS ok FROM q),
+n AS (SELECT condition, model_key, count(*) AS n, count(*) FILTER (content IS NULL) AS n_errors FROM t GROUP BY ALL)""".replace("{{", "{").replace("}}", "}")
+
+
+@query(f"""WITH {_TASKS}, {_SHOWN} SELECT n.model_key, n.condition, n.n, n.n_errors, CAST(0 AS BIGINT) AS n_unparsed, count(*) FILTER (f.ok) AS n_correct,
+CASE WHEN n.n > n.n_errors THEN 0.0 END AS unparsed_rate, CASE WHEN n.n > n.n_errors THEN count(*) FILTER (f.ok) / (n.n - n.n_errors) END AS accuracy
+FROM n LEFT JOIN f ON f.condition = n.condition AND f.model_key = n.model_key GROUP BY n.model_key, n.condition, n.n, n.n_errors""")
 def run_evaluation(spark, d):
     """Tasks, answered by a deterministic stand-in, scored and tallied."""
     t = _tasks(spark, d, True).withColumn("raw_text", F.when(F.col("error").isNull(), R.fake_answer(F.col("prompt"), 3)))
     return R.cell_stats(R.scored(t))
 
 
+_ASR = Q.Spec("asr0", "asr", Q.FAKE, "fake-asr", "1")
+
+
+def _hypotheses(spark, d):
+    """Suppliers' windows transcribed; those of negative balance are cached, those of nation 3 have no audio."""
+    s = table(spark, d, "supplier")
+    windows = s.select(F.col("s_suppkey").cast("string").alias("window_id"), F.when(F.col("s_nationkey") != 3, F.col("s_name")).alias("audio"))
+    keyed = Q.asr_tasks(windows, _ASR).join(s.select(F.col("s_suppkey").cast("string").alias("window_id"), "s_acctbal"), "window_id")
+    cache = keyed.where("s_acctbal < 0").select("key", F.concat(F.lit("cached "), "window_id").alias("text"))
+    return Q.resolve(windows, _ASR, cache, Q.fake_transcript(F.col("audio"), 5))
+
+
+@query("""WITH s AS (SELECT CAST(s_suppkey AS VARCHAR) AS window_id, CASE WHEN s_nationkey <> 3 THEN s_name END AS audio, s_acctbal < 0 AS cached FROM supplier),
+x AS (SELECT window_id, cached, CASE WHEN cached THEN 'cached ' || window_id WHEN audio IS NOT NULL THEN 'transcrição ' || substr(sha256('5:' || audio), 1, 12) END AS content, CASE WHEN NOT cached AND audio IS NULL THEN 'insumo_ausente: window_id=' || window_id END AS input_error FROM s)
+SELECT window_id, 'asr' AS condition, content, sha256(content) AS asr_hash, input_error FROM x""")
+def run_asr_inputs(spark, d):
+    """The recognition phase: hypotheses from the cache or the stand-in, as inputs of the answers' phase."""
+    return Q.as_inputs(_hypotheses(spark, d))
+
+
+@query("SELECT s_acctbal < 0 AS cached, count(*) AS n, count(*) FILTER (s_acctbal >= 0 AND s_nationkey = 3) AS n_errors FROM supplier GROUP BY 1")
+def run_asr_tally(spark, d):
+    return _hypotheses(spark, d).groupBy("cached").agg(F.count("*").alias("n"), F.count("error").alias("n_errors"))
+
+
 def _cache(spark, d):
     o = table(spark, d, "orders")
     return o.select(F.sha2(F.col("o_orderkey").cast("string"), 256).alias("cache_key"), "o_orderkey"), o.where("o_orderstatus = 'F'").select(F.sha2(F.col("o_orderkey").cast("string"), 256).alias("cache_key"), F.col("o_orderpriority").alias("raw_text"))
@@ -334,13 +408,29 @@ def analysis_decomposition(spark, d):
 @query()
 def analysis_gap_table(spark, d):
     rows = _trials(spark, d)
-    return S.gap_table(rows, S.resamples(rows, 200, SEED), max_failures=1.0)
+    return S.gap_table(rows, S.hashed_resamples(rows, RESAMPLES, SEED))
+
+
+@query(f"""WITH {TRIALS} SELECT model_key, condition, sum(CAST(is_correct AS BIGINT)) FILTER (region = 'NE') / count(*) FILTER (region = 'NE') AS "accuracy_NE", sum(CAST(is_correct AS BIGINT)) FILTER (region = 'SE') / count(*) FILTER (region = 'SE') AS "accuracy_SE",
+count(*) AS n_trials, count(DISTINCT speaker_code) AS n_speakers, round(sum(CAST(is_correct AS BIGINT)) FILTER (region = 'NE') / count(*) FILTER (region = 'NE') - sum(CAST(is_correct AS BIGINT)) FILTER (region = 'SE') / count(*) FILTER (region = 'SE'), 9) AS raw_gap FROM trials GROUP BY ALL""")
+def analysis_raw_gaps(spark, d):
+    return S.raw_gaps(_trials(spark, d)).withColumn("raw_gap", F.round("raw_gap", 9))
 
 
 @query()
 def analysis_sensitivity(spark, d):
     rows = _trials(spark, d)
-    return S.sensitivity(rows, S.resamples(rows, 40, SEED), SEED, (3, 8), (0, 30, 60), max_failures=1.0)
+    return S.sensitivity(rows, S.hashed_resamples(rows, RESAMPLES, SEED), SEED, (3, 8), (0, 30, 60))
+
+
+@query(f"WITH {RECORDS}, i AS (SELECT speaker_code, count(DISTINCT item_id) AS n FROM records GROUP BY 1) SELECT count(*) FILTER (n < 30) AS n_short, count(*) AS n_speakers FROM i")
+def analysis_short_speakers(spark, d):
+    return S.short_speakers(records(spark, d), 30)
+
+
+@query(f"WITH {RECORDS} SELECT count(*) FILTER (window_duration_s < 30 OR window_duration_s > 50) AS n_uncovered, count(*) AS n_trials FROM records")
+def analysis_uncovered(spark, d):
+    return S.uncovered(records(spark, d), (30, 40, 50))
 
 
 @query(f"""WITH {RECORDS}, p AS (SELECT DISTINCT speaker_code, item_id FROM records), c AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY speaker_code ORDER BY sha256('{SEED}:' || speaker_code || ':' || item_id)) <= 3)
@@ -361,3 +451,23 @@ def source_footprint(spark, d):
     """Bytes that a projection without html reads and avoids."""
     out = footprint(spark, f"{d}/pages.parquet", ["html"])
     return out.groupBy("is_read").agg(F.sum(F.col("high") - F.col("low")).alias("bytes"), F.count_distinct("column").alias("n_columns"))
+
+
+def _fetch_plan(spark, d):
+    index = index_shards(spark, f"{d}/pages.parquet", "page_id")
+    wanted = table(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").cast("string").alias("page_id"))
+    return index, A.fetch_plan(index, wanted, "page_id")
+
+
+@query("SELECT CAST(page_id AS VARCHAR) AS page_id, sha256(html) AS sha, CAST(strlen(html) AS BIGINT) AS n_bytes FROM pages WHERE page_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def source_selective_fetch(spark, d):
+    """Blobs of the wanted keys, by row groups that hold one."""
+    _, planned = _fetch_plan(spark, d)
+    return fetch(planned, "page_id", "html").select("page_id", F.sha2("html", 256).alias("sha"), F.length("html").cast("long").alias("n_bytes"))
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS n_wanted FROM pages WHERE page_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def source_fetch_plan(spark, d):
+    """Keys that the plan reads, over all row groups."""
+    index, planned = _fetch_plan(spark, d)
+    return planned.agg(F.coalesce(F.sum("n_wanted"), F.lit(0)).cast("long").alias("n_wanted"))

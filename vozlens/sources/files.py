@@ -23,6 +23,10 @@ WINDOW_SCHEMA = T.StructType(
 )
 
 
+#: Fields without which a window is none.
+REQUIRED = ("window_id", "speaker_code", "segment_file_paths", "reference_text")
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """Records of the schema; blank lines are skipped, broken ones are an error."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
@@ -49,8 +53,15 @@ def write_windows(df: DataFrame, path: str, provenance: dict) -> None:
 
 
 def read_windows(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
-    reader = spark.read.schema(WINDOW_SCHEMA)
-    df = reader.json(path) if path.rstrip("/").endswith((".jsonl", ".json")) else reader.parquet(path)
+    """Windows from Parquet or JSON lines, by the path's ending; a row without a required field is an error where it is read."""
+    jsonl = path.rstrip("/").endswith((".jsonl", ".json"))
+    df = spark.read.schema(WINDOW_SCHEMA).option("mode", "FAILFAST").json(path) if jsonl else spark.read.parquet(path)
+    lacking = [f.name for f in WINDOW_SCHEMA if f.name not in df.columns]
+    if lacking:
+        raise ValueError(f"the windows lack {lacking}")
+    for name in REQUIRED:
+        lost = F.raise_error(F.lit(f"a window lacks {name}")).cast(WINDOW_SCHEMA[name].dataType)
+        df = df.withColumn(name, F.when(F.col(name).isNull(), lost).otherwise(F.col(name)))
     try:
         found = spark.read.text(f"{path.rstrip('/')}_provenance").first()
     except Exception as e:  # a table without a sidecar has no provenance
@@ -58,3 +69,31 @@ def read_windows(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
             raise
         found = None
     return df, json.loads(found[0]) if found else {}
+
+
+def first_windows(windows: DataFrame, n: int | None) -> DataFrame:
+    """The first n in canonical order (by id), for a limited run; all where n is None."""
+    return windows if n is None else windows.orderBy("window_id").limit(n)
+
+
+def revision(spark: SparkSession, path: str) -> str:
+    """A pin of a table's state for provenance: SHA-256 over names, sizes and times of its files, contents unread."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    entry = F.concat_ws("|", F.regexp_replace("path", "^[a-z0-9]+:/*", "/"), F.col("length").cast("string"), F.unix_micros("modificationTime").cast("string"))
+    return files.select(F.sha2(entry, 256).alias("h")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("pin")).first()["pin"]
+
+
+def save_summaries(path: str, stage: str, payload: dict) -> None:
+    """A stage's summary in a small JSON file on the driver, keys sorted, other stages' kept."""
+    found = load_summaries(path) | {stage: payload}
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(found, f, sort_keys=True, ensure_ascii=False, indent=2)
+
+
+def load_summaries(path: str) -> dict:
+    """All stages' summaries; none where there is no file."""
+    try:
+        with open(path, encoding="utf-8") as f:
+            return json.load(f)
+    except FileNotFoundError:
+        return {}
