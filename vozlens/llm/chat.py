@@ -35,10 +35,13 @@ def _piece(turn: Column, perspective: Column) -> Column:
     return F.struct(head.alias("head"), F.concat(turn["text"], F.lit(END)).alias("body"), own.alias("own"))
 
 
-def rotate(turns: DataFrame, segment: int = SEGMENT) -> DataFrame:
-    """conv_id, perspective, segment, n_turns, n_own, text, mask of every participant's rendering of (conv_id, turn, role, text)."""
+def rotate(turns: DataFrame, segment: int | None = SEGMENT) -> DataFrame:
+    """conv_id, perspective, segment, n_turns, n_own, text, mask of every participant's rendering of (conv_id, turn, role, text).
+
+    Without ``segment`` every rendering is one row of segment 0, whatever its length.
+    """
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit(UNNAMED)).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("segment", F.floor(F.col("turn") / segment).cast("long"))
+    rows = rows.withColumn("segment", F.lit(0).cast("long") if segment is None else F.floor(F.col("turn") / segment).cast("long"))
     people = rows.where("role <> 'system'").select("conv_id", F.col("role").alias("perspective")).distinct()
     dealt = rows.groupBy("conv_id", "segment").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
     both = dealt.alias("d").join(people.alias("p"), F.col("d.conv_id").eqNullSafe(F.col("p.conv_id"))).select("d.conv_id", "perspective", "segment", "turns")

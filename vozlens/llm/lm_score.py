@@ -242,10 +242,12 @@ def score_texts(docs: DataFrame, train: DataFrame, shard_keys: int = SHARD_KEYS,
     scale = math.log10(total + distinct + 1)
     rows = None
     for number, part in enumerate(parts):
-        rows_part = _scored(docs, spark.sparkContext.broadcast((*_arrays(part), *pairs)), common, ends, number, len(parts), tail, there)
+        sent = spark.sparkContext.broadcast((*_arrays(part), *pairs))
+        rows_part = _scored(docs, sent, common, ends, number, len(parts), tail, there)
+        if tail or len(parts) > 1:  # a shard is on the driver and the executors only while its share is made
+            rows_part = materialize(rows_part, "scored")
+            sent.destroy()
         rows = rows_part if rows is None else rows.unionByName(rows_part)
-    if tail or len(parts) > 1:
-        rows = materialize(rows, "scored")
     if len(parts) > 1:
         first = rows.where("shard = 0").drop("score")  # a score is its text's alone, so equal texts share the sum
         shares = rows.groupBy("name", "shard").agg(F.first("score").alias("score"))
