@@ -50,7 +50,7 @@ def oracle():
         for t in ("documents", "benchmark", "conversations", "labels", "pages", "embeddings"):
             where = f"{path}/{t}.parquet/*.parquet" if not path.startswith("/root") else f"{path}/{t}.parquet"
             c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{where}'")
-        r = c.sql(registry.ORACLE_SQL[name])
+        r = c.sql(registry.oracle_sql()[name])
         return r.columns, r.fetchall()
 
     return rows
