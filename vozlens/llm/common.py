@@ -39,9 +39,21 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+#: Rows that a Python worker gets at once; whole texts and sets of shingles are large rows.
+BATCH_ROWS = 2_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to ``BATCH_ROWS``, unless they are smaller: JVM and worker hold a few batches of every running task."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -85,7 +97,7 @@ def worker_cache(owner: str) -> dict:
     return kept.setdefault(owner, {})
 
 
-def cut(batch: pa.RecordBatch, text: str, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+def cut(batch: pa.RecordBatch, text: str, most: int = 500_000) -> Iterator[pa.RecordBatch]:
     """Slices of ``batch`` with at most ``most`` bytes of text each; a longer text comes alone.
 
     Only bounds the size of the arrays made at once: every row is in exactly one slice.

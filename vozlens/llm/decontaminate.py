@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, worker_cache
+from .common import small_batches, table, worker_cache
 
 WINDOW = 10
 ADDED = ("n_words", "n_hit", "hits", "item_ids")
@@ -139,6 +139,7 @@ def scan(docs: DataFrame, items: list[tuple[str, bytes]], window: int = WINDOW,
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` (its columns, without clashes) with ``ADDED`` over the whole benchmark."""
+    small_batches(docs.sparkSession)
     out = docs.drop(*ADDED)
     for items in blocks(benchmark):
         out = scan(out, items, window)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, small_batches, table
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>|<([a-zA-Z][^\s/>]*)[^>]*>", re.S)
 UNENDED = re.compile(r"<[a-zA-Z/!?]")
@@ -524,6 +524,7 @@ def trained() -> Boosted:
 
 def extract(pages: DataFrame, model: Boosted | None = None) -> DataFrame:
     """page_id, url, text and n_chars of every page; one narrow pass."""
+    small_batches(pages.sparkSession)
     model = model or trained()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, cut, materialize, table
+from .common import crc_mod, cut, materialize, small_batches, table
 from .kernels import space_table, utf8, word_hashes
 
 #: The most labelled documents that ``train_bounded`` fits on, by smallest hash of their id.
@@ -199,6 +199,7 @@ def train_bounded(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED)
 
     A label whose doc_id stands on several documents counts with each.
     """
+    small_batches(docs.sparkSession)
     keep = crc_mod("doc_id", 4) != 2
     named = labels.where(keep & F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(most)
     own = docs.select("doc_id", "text").join(F.broadcast(named), "doc_id")  # ``most`` ids at most
