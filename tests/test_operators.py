@@ -102,6 +102,21 @@ def test_audit_small(spark):
     assert (d["min"], d.q1, d.median, d.q3, d["max"], d["mean"]) == (1, 1.75, 2.5, 4.75, 10, 4)
 
 
+@pytest.mark.parametrize("keys", [[], ["k"]])
+@pytest.mark.parametrize("bins", [2, 7, 256])
+def test_quantiles(spark, keys, bins):
+    draw = random.Random(5)
+    rows = [(draw.choice(["a", "b", None]), draw.choice([None, 0.0, -1.5, 3.0, draw.gauss(0, 9)])) for _ in range(900)] + [("one", 2.0), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    at = {"low": 0.0, "third": 1 / 3, "half": 0.5, "high": 0.975, "top": 1.0}
+    got = {r[: len(keys)]: r[len(keys) :] for r in audit.quantiles(df, "v", at, keys, bins).collect()}
+    want = df.where("v is not null").groupBy(*keys).agg(*[F.percentile("v", F.lit(p)).alias(n) for n, p in at.items()])
+    assert got == {r[: len(keys)]: r[len(keys) :] for r in want.collect()}
+    assert audit.quantiles(df.where("v is null"), "v", at, keys, bins).count() == 0
+    full = audit.with_quantiles(df, "v", at, keys, {"n": F.count("*")})
+    assert full.agg(F.sum("n")).first()[0] == len(rows) and full.columns == [*keys, "n", *at]
+
+
 # ---- words
 
 def brute(a, b):

@@ -56,12 +56,43 @@ def region_totals(by_state: DataFrame) -> DataFrame:
     return by_state.groupBy("region").agg(F.sum("n_speakers").alias("n_speakers"), F.sum("n_segments").alias("n_segments"))
 
 
+def quantiles(df: DataFrame, value: str | Column, at: Mapping[str, float], keys: Sequence[str] = (), bins: int = 256) -> DataFrame:
+    """Exact, linearly interpolated quantiles of each group, a column for each name of ``at``.
+
+    Equal values are counted first.  What is left is ranked by ranges of values, which
+    approximate quantiles part, so that a group of any size is many sorts and none holds
+    its values at once; only a count for each group and range is carried over.  Nulls
+    take no part; a group without values has no row.
+    """
+    v = (F.col(value) if isinstance(value, str) else value).cast("double")
+    counted = df.select(*keys, v.alias("value_")).where("value_ is not null").groupBy(*keys, "value_").agg(F.count("*").alias("count_"))
+    bounds = counted.agg(F.percentile_approx("value_", F.array(*[F.lit(i / bins) for i in range(1, bins)]), F.lit(10_000)).alias("bounds_"))
+    placed = counted.withColumn("bounds_", bounds.scalar()).withColumn("bin_", F.size(F.filter("bounds_", lambda b: b < F.col("value_")))).drop("bounds_")
+    upto = placed.withColumn("upto_", F.sum("count_").over(Window.partitionBy(*keys, "bin_").orderBy("value_").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    before = F.sum("n_").over(Window.partitionBy(*keys).orderBy("bin_").rowsBetween(Window.unboundedPreceding, -1))
+    sums = placed.groupBy(*keys, "bin_").agg(F.sum("count_").alias("n_")).withColumns({"before_": F.coalesce(before, F.lit(0)), "total_": F.sum("n_").over(Window.partitionBy(*keys))})
+    same = reduce(Column.__and__, [F.col(f"u.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys], F.col("u.bin_") == F.col("s.bin_"))
+    ranked = upto.alias("u").join(sums.alias("s"), same).select(*[f"u.{k}" for k in keys], "value_", "total_", (F.col("before_") + F.col("upto_")).alias("end_"), (F.col("before_") + F.col("upto_") - F.col("count_")).alias("start_"))
+    held = lambda rank: F.max(F.when((F.col("start_") <= rank) & (rank < F.col("end_")), F.col("value_")))
+    place = {name: F.lit(float(p)) * (F.col("total_") - 1) for name, p in at.items()}
+    ends = [f(place[name]) for name in at for f in (F.floor, F.ceil)]
+    found = ranked.groupBy(*keys).agg(F.max("total_").alias("total_"), *[held(rank).alias(f"{name}_{side}") for name, side, rank in zip([n for n in at for _ in "lh"], "lh" * len(at), ends, strict=True)])
+    between = lambda name, p: F.when(F.floor(p) == F.ceil(p), F.col(f"{name}_l")).otherwise((F.ceil(p) - p) * F.col(f"{name}_l") + (p - F.floor(p)) * F.col(f"{name}_h"))
+    return found.where("total_ is not null").select(*keys, *[between(name, p).alias(name) for name, p in place.items()])
+
+
+def with_quantiles(df: DataFrame, value: str | Column, at: Mapping[str, float], keys: Sequence[str], aggs: Mapping[str, Column]) -> DataFrame:
+    """The aggregates of each group and the quantiles of ``value``, put together by a union, which null keys don't trouble."""
+    plain = df.groupBy(*keys).agg(*[c.alias(name) for name, c in aggs.items()])
+    both = plain.unionByName(quantiles(df, value, at, keys), allowMissingColumns=True)
+    return both.groupBy(*keys).agg(*[F.max(name).alias(name) for name in (*aggs, *at)])
+
+
 def describe(df: DataFrame, value: str | Column, keys: Sequence[str] = ()) -> DataFrame:
     """min, q1, median, q3, max, mean with exact, linearly interpolated quantiles."""
     v = (F.col(value) if isinstance(value, str) else value).cast("double")
-    q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = df.groupBy(*keys).agg(F.min(v).alias("min"), q.alias("q"), F.max(v).alias("max"), F.avg(v).alias("mean"))
-    return out.select(*keys, F.bround("min", 4).alias("min"), *[F.bround(F.col("q")[i], 4).alias(n) for i, n in enumerate(("q1", "median", "q3"))], F.bround("max", 4).alias("max"), F.bround("mean", 4).alias("mean"))
+    out = with_quantiles(df, v, {"q1": 0.25, "median": 0.5, "q3": 0.75}, keys, {"min": F.min(v), "max": F.max(v), "mean": F.avg(v)})
+    return out.select(*keys, *[F.bround(c, 4).alias(c) for c in ("min", "q1", "median", "q3", "max", "mean")])
 
 
 def key_candidates(df: DataFrame, key: str, composite: Sequence[str]) -> DataFrame:
@@ -117,12 +148,14 @@ def category_by_region(table: DataFrame, region: str, attribute: str, universe:
 
 def segments_per_speaker(table: DataFrame, region: str, n: str = "n_segments") -> DataFrame:
     """Spread of the segments of a region's speakers, and the share of the largest of them."""
-    out = table.groupBy(region).agg(F.count("*").alias("n_speakers"), F.min(n).alias("min"), F.percentile(n, F.lit(0.5)).alias("median"), F.avg(n).alias("mean"), F.max(n).alias("max"), F.sum(n).alias("total"))
+    aggs = {"n_speakers": F.count("*"), "min": F.min(n), "mean": F.avg(n), "max": F.max(n), "total": F.sum(n)}
+    out = with_quantiles(table, n, {"median": 0.5}, [region], aggs)
     return out.withColumns({"median": F.bround("median", 2), "mean": F.bround("mean", 2), "max_share": F.bround(F.when(F.col("total") > 0, F.col("max") / F.col("total")), 4)})
 
 
 def age_stats(table: DataFrame, region: str, age: str = "age") -> DataFrame:
-    return table.groupBy(region).agg(F.count("*").alias("n_speakers"), F.bround(F.percentile(age, F.lit(0.5)), 1).alias("median_age"), F.bround(F.avg(age), 1).alias("mean_age"))
+    out = with_quantiles(table, age, {"median_age": 0.5}, [region], {"n_speakers": F.count("*"), "mean_age": F.avg(age)})
+    return out.select(region, "n_speakers", F.bround("median_age", 1).alias("median_age"), F.bround("mean_age", 1).alias("mean_age"))
 
 
 def unknown_coverage(table: DataFrame, region: str, attribute: str, unknown: str = "unknown") -> DataFrame:
