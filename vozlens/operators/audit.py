@@ -66,8 +66,9 @@ def quantiles(df: DataFrame, value: str | Column, at: Mapping[str, float], keys:
     """
     v = (F.col(value) if isinstance(value, str) else value).cast("double")
     counted = df.select(*keys, v.alias("value_")).where("value_ is not null").groupBy(*keys, "value_").agg(F.count("*").alias("count_"))
-    bounds = counted.agg(F.percentile_approx("value_", F.array(*[F.lit(i / bins) for i in range(1, bins)]), F.lit(10_000)).alias("bounds_"))
-    placed = counted.withColumn("bounds_", bounds.scalar()).withColumn("bin_", F.size(F.filter("bounds_", lambda b: b < F.col("value_")))).drop("bounds_")
+    # every use of ``counted`` reads the counts, so that all share one exchange
+    bounds = counted.where("count_ > 0").agg(F.percentile_approx("value_", F.array(*[F.lit(i / bins) for i in range(1, bins)]), F.lit(10_000)).alias("bounds_"))
+    placed = counted.withColumn("bounds_", bounds.scalar()).withColumn("bin_", F.coalesce(F.size(F.filter("bounds_", lambda b: b < F.col("value_"))), F.lit(0))).drop("bounds_")
     upto = placed.withColumn("upto_", F.sum("count_").over(Window.partitionBy(*keys, "bin_").orderBy("value_").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     before = F.sum("n_").over(Window.partitionBy(*keys).orderBy("bin_").rowsBetween(Window.unboundedPreceding, -1))
     sums = placed.groupBy(*keys, "bin_").agg(F.sum("count_").alias("n_")).withColumns({"before_": F.coalesce(before, F.lit(0)), "total_": F.sum("n_").over(Window.partitionBy(*keys))})
