@@ -22,6 +22,12 @@ def expit(z: np.ndarray) -> np.ndarray:
     return np.where(z >= 0, 1 / (1 + e), e / (1 + e))
 
 
+def expit_of(z: Column) -> Column:
+    """The logistic of a column; large values of either sign neither overflow nor cancel."""
+    e = F.exp(-F.abs(z))
+    return F.when(z >= 0, 1 / (1 + e)).otherwise(e / (1 + e))
+
+
 def ratio(top: Column, bottom: Column) -> Column:
     """Null where there is nothing to divide by."""
     return F.when(bottom != 0, top.cast("double") / bottom)
@@ -39,3 +45,13 @@ def br_number(x: float | None, decimals: int = 2) -> str:
 
 def br_percent(x: float | None) -> str:
     return "-" if x is None else f"{br_number(100 * x, 1)} %"
+
+
+def br_int_of(n: Column) -> Column:
+    """``br_int`` of a column; null stays null."""
+    return F.translate(F.format_number(n, 0), ",", ".")
+
+
+def br_number_of(x: Column, decimals: int = 2) -> Column:
+    """``br_number`` of a column."""
+    return F.when(x.isNull() | F.isnan(x), "-").otherwise(F.translate(F.format_number(x, decimals), ",.", ".,"))

@@ -56,10 +56,22 @@ def resamples(speakers: DataFrame, n: int, seed: int, stratum: str = "region") -
     return speakers.sparkSession.createDataFrame(pd.concat(parts))
 
 
+def stratum_conflicts(speakers: DataFrame, stratum: str = "region") -> DataFrame:
+    """(speaker_code, n_strata) of speakers with more than one stratum; a bootstrap by strata needs none."""
+    found = speakers.groupBy("speaker_code").agg(F.count_distinct(stratum).alias("n_strata"))
+    return found.where("n_strata > 1")
+
+
 def hashed_resamples(speakers: DataFrame, n: int, seed: int, stratum: str = "region") -> DataFrame:
-    """The same by hashes, without the driver: draw s of stratum of size m is SHA-256 of (seed, b, stratum, s) modulo m."""
+    """The same by hashes, without the driver: draw s of stratum of size m is SHA-256 of (seed, b, stratum, s) modulo m.
+
+    A speaker of more than one stratum raises where the draws are computed.
+    """
     order = Window.partitionBy(stratum).orderBy("speaker_code")
-    ranked = speakers.select("speaker_code", stratum).distinct().withColumns({"r": F.row_number().over(order) - 1, "m": F.count("*").over(Window.partitionBy(stratum))})
+    own = speakers.groupBy("speaker_code").agg(F.min(stratum).alias(stratum), (F.count_distinct(stratum) + F.max(F.col(stratum).isNull().cast("int"))).alias("n"))
+    twice = F.raise_error(F.concat(F.lit("more than one stratum: "), F.col("speaker_code").cast("string"))).cast(speakers.schema[stratum].dataType)
+    one = own.select("speaker_code", F.when(F.col("n") > 1, twice).otherwise(F.col(stratum)).alias(stratum))
+    ranked = one.withColumns({"r": F.row_number().over(order) - 1, "m": F.count("*").over(Window.partitionBy(stratum))})
     draws = ranked.select(stratum, F.col("r").alias("s"), "m", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("b"))
     pick = F.pmod(F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("b").cast("string"), stratum, F.col("s").cast("string")), 256), 1, 8), 16, 10).cast("long"), F.col("m"))
     counted = draws.groupBy("b", stratum, pick.alias("r")).agg(F.count("*").alias("weight"))
@@ -172,6 +184,13 @@ def _effects(x: np.ndarray, n: np.ndarray, beta: np.ndarray) -> np.ndarray:
     return ((expit(one @ beta.T) - expit(zero @ beta.T)) * n).sum(0) / n.sum(0)
 
 
+def accuracy_gap(x: np.ndarray, k: np.ndarray, n: np.ndarray) -> float | None:
+    """A statistic without covariates: accuracy of the exposed less that of the others; None where a side has no trials."""
+    side = x[:, 1] == 1
+    top, low = n[side].sum(), n[~side].sum()
+    return float(k[side].sum() / top - k[~side].sum() / low) if top and low else None
+
+
 def marginal_effects(x: np.ndarray, k: np.ndarray, n: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """The effect under each column of weights, NaN where it can't be estimated; the fits run together."""
     kw, nw = k[:, None] * weights, n[:, None] * weights

@@ -107,6 +107,11 @@ def wav_bytes(samples: np.ndarray, rate: int = RATE) -> bytes:
     return out.getvalue()
 
 
+def required_keys(windows: DataFrame, segments: str = "segments", key: str = "file_path") -> DataFrame:
+    """Each key that some window needs, once."""
+    return windows.select(F.explode(segments).alias(key)).distinct()
+
+
 def materialize_windows(windows: DataFrame, segments: DataFrame, key: str = "file_path", blob: str = "audio") -> DataFrame:
     """window_id, status, wav (PCM16 at ``RATE``), n_samples and sha256 of each window: its segments decoded, resampled, joined in order.
 

@@ -105,7 +105,11 @@ def hash_choice(spark, d):
 
 # ---- word errors
 
-@query()
+@query("""WITH RECURSIVE w AS (SELECT conv_id, turn, [x FOR x IN string_split(regexp_replace(lower(text), '\\s+', ' ', 'g'), ' ') IF x <> ''] AS words FROM conversations),
+p AS (SELECT a.conv_id, a.turn, a.words AS r, b.words AS h FROM w a JOIN w b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1),
+c AS (SELECT conv_id, turn, r, h, 0 AS i, range(len(h) + 1) AS cost FROM p
+UNION ALL SELECT conv_id, turn, r, h, i + 1, [list_min(t[1:j]) + j - 1 FOR j IN range(1, len(h) + 2)] FROM (SELECT *, list_concat([i + 1], [least(cost[j] + CASE WHEN h[j] = r[i + 1] THEN 0 ELSE 1 END, cost[j + 1] + 1) - j FOR j IN range(1, len(h) + 1)]) AS t FROM c WHERE i < len(r)))
+SELECT conv_id, turn, CAST(cost[len(h) + 1] AS BIGINT) AS errors FROM c WHERE i = len(r)""")
 def wer_native(spark, d):
     c = table(spark, d, "conversations")
     a, b = c.alias("a"), c.alias("b")

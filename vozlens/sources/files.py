@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,14 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> Da
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def typed(df: DataFrame, raw: str, schema: T.StructType, defaults: Mapping[str, object]) -> DataFrame:
+    """The JSON objects of column ``raw`` as columns of the schema, those of ``defaults`` filled where a value is absent; a broken object is an error."""
+    fields = F.from_json(raw, schema, {"mode": "FAILFAST"})
+    out = df.withColumn("_fields", fields)
+    filled = [F.coalesce(f"_fields.{f.name}", F.lit(defaults[f.name]).cast(f.dataType)) if f.name in defaults else F.col(f"_fields.{f.name}") for f in schema.fields]
+    return out.select(*[c for c in df.columns if c != raw], *[c.alias(f.name) for c, f in zip(filled, schema.fields, strict=True)])
+
+
 def write_jsonl(df: DataFrame, path: str, order: list[str], append: bool = False) -> None:
     """Sorted records with keys in alphabetical order."""
     out = df.select(*sorted(df.columns)).orderBy(*order)
