@@ -29,7 +29,8 @@ CELL = ("model_key", "condition")
 def trials(records: DataFrame, speakers: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     """Records with region, age and gender of their speaker, and drop_reason: unread, no speaker, region out of scope."""
     who = speakers.select("speaker_code", "region", "age", "speaker_gender", *extra).dropDuplicates(["speaker_code"]).withColumn("_there", F.lit(True))
-    both = records.join(who, "speaker_code", "left")
+    # merged: a plan reads the trials several times, and the driver can't hold a broadcast of all speakers for each
+    both = records.join(who.hint("merge"), "speaker_code", "left")
     reasons = [(F.col("is_correct").isNull(), UNREADABLE), (F.col("_there").isNull(), NO_SPEAKER), (~F.coalesce(F.col("region").isin(EXPOSED, BASELINE), F.lit(False)), F.concat(F.lit("região fora de escopo ("), F.coalesce("region", F.lit("null")), F.lit(")")))]
     return tagged(both, reasons).drop("_there")
 
@@ -296,9 +297,14 @@ def decomposition(rows: DataFrame, draws: DataFrame, ceiling: Ceiling = Ceiling(
     return each.groupBy("model_key", "scope").agg(point_of("asr").alias("accuracy_asr"), point_of("ref").alias("accuracy_reference"), point_of("d_asr").alias("delta_asr"), point_of("d_reasoning").alias("delta_reasoning"), a0.alias("asr_low"), a1.alias("asr_high"), r0.alias("reasoning_low"), r1.alias("reasoning_high"), (F.count_if((F.col("b") >= 0) & F.col("d_asr").isNull()) + F.count_if((F.col("b") >= 0) & F.col("d_reasoning").isNull())).alias("n_failed"))
 
 
+def breaks_identity(ceiling: Ceiling = Ceiling(), tolerance: float = 1e-9) -> Column:
+    """Whether a row of a decomposition doesn't add up to the ceiling; null where a part is."""
+    return F.abs(F.col("accuracy_asr") + F.col("delta_asr") + F.col("delta_reasoning") - ceiling.value) > tolerance
+
+
 def check_identity(table: DataFrame, ceiling: Ceiling = Ceiling(), tolerance: float = 1e-9) -> DataFrame:
     """Rows of a decomposition that don't add up to the ceiling; none for a sound one."""
-    return table.where(F.abs(F.col("accuracy_asr") + F.col("delta_asr") + F.col("delta_reasoning") - ceiling.value) > tolerance)
+    return table.where(breaks_identity(ceiling, tolerance))
 
 
 def subsample_items(rows: DataFrame, n: int, seed: int, numpy_draws: bool = False) -> DataFrame:
