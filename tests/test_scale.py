@@ -1,5 +1,11 @@
 """What lets a plan grow with its input: no broadcast of a table that grows, windows summed alone, bounded tasks and batches."""
 
+import datetime as dt
+
+import duckdb
+import numpy as np
+import pytest
+
 from vozlens import plans
 from vozlens.operators import analysis
 from vozlens.plans import bindings
@@ -18,3 +24,24 @@ def test_speakers_are_not_broadcast(spark):
 def test_identity_plans_the_decomposition_once(spark):
     text = plan(plans.QUERIES["analysis_identity"](spark, D))
     assert "NestedLoop" not in text and "CartesianProduct" not in text
+
+
+@pytest.fixture(scope="module")
+def long_runs(spark, tmp_path_factory):
+    """Events of long runs, in which many windows last just 60 or 300 seconds."""
+    rng, d = np.random.default_rng(6), str(tmp_path_factory.mktemp("runs"))
+    values = rng.choice([0.1, 19.9, 29.7, 30.3, 40.1, 239.9, 240.3, 269.7], 2000)
+    at = dt.datetime(2024, 1, 1)
+    rows = [(i, at + dt.timedelta(hours=i // 20), i % 20, "view", float(v), "") for i, v in enumerate(values)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{d}/events.parquet")
+    return d
+
+
+@pytest.mark.parametrize("name", ["windows_pack"])
+def test_windows_on_a_bound(spark, long_runs, name):
+    got = plans.QUERIES[name](spark, long_runs)
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW events AS SELECT * FROM '{long_runs}/events.parquet/*.parquet'")
+    want = db.sql(plans.ORACLE_SQL[name])
+    at = [got.columns.index(c) for c in want.columns]
+    assert sorted(tuple(r[i] for i in at) for r in got.collect()) == sorted(want.fetchall())

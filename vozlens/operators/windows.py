@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from itertools import accumulate
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -89,11 +91,11 @@ def pack_runs(runs: DataFrame, least: int = 8, most: int = 15, low: float = 30.0
     ``high``; a window ends where it ends, a position without one is passed over.
     """
     order = Window.partitionBy(c.speaker, "run").orderBy(c.recording, c.start, c.key)
-    upto = F.sum(F.col(c.duration).cast("double")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    rows = runs.select(c.speaker, "run", c.recording, c.start, c.key, (F.row_number().over(order) - 1).alias("pos"), upto.alias("cum"), F.col(c.duration).cast("double").alias("d"))
-    sums = [F.lead("cum", n - 1).over(order) for n in range(least, most + 1)]
-    rows = rows.withColumn("sums", F.array(*sums)).withColumn("before", F.coalesce(F.lag("cum").over(order), F.lit(0.0)))
-    totals = F.transform("sums", lambda s: s - F.col("before"))
+    rows = runs.select(c.speaker, "run", c.recording, c.start, c.key, (F.row_number().over(order) - 1).alias("pos"), F.col(c.duration).cast("double").alias("d"))
+    rows = rows.withColumns({f"d{k}": F.lead("d", k).over(order) for k in range(1, most)})
+    # each window's own durations are added, from the left: differences of running sums miss the bounds by their rounding
+    sums = list(accumulate([F.col("d"), *[F.col(f"d{k}") for k in range(1, most)]], add))
+    totals = F.array(*sums[least - 1 :])
     # the sums ascend: the first that reaches low decides
     first = F.array_position(F.transform(totals, lambda t: F.coalesce(t >= low, F.lit(False))), True)
     length = F.when((first > 0) & (F.element_at(totals, F.greatest(first, F.lit(1)).cast("int")) <= high), first + (least - 1))
