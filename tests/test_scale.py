@@ -37,7 +37,7 @@ def long_runs(spark, tmp_path_factory):
     return d
 
 
-@pytest.mark.parametrize("name", ["windows_pack"])
+@pytest.mark.parametrize("name", ["windows_pack", "windows_choose"])
 def test_windows_on_a_bound(spark, long_runs, name):
     got = plans.QUERIES[name](spark, long_runs)
     db = duckdb.connect()
