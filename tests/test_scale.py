@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from vozlens import plans
-from vozlens.operators import analysis
+from vozlens.operators import analysis, items
 from vozlens.plans import bindings
 
 D = "/root/testdata/sf0.001"
@@ -45,3 +45,12 @@ def test_windows_on_a_bound(spark, long_runs, name):
     want = db.sql(plans.ORACLE_SQL[name])
     at = [got.columns.index(c) for c in want.columns]
     assert sorted(tuple(r[i] for i in at) for r in got.collect()) == sorted(want.fetchall())
+
+
+def test_context_pairs_are_not_shuffled(spark):
+    text = plan(plans.QUERIES["items_context"](spark, D))
+    assert text.count("Exchange hashpartitioning") == 1 and "Join" not in text
+    w = spark.createDataFrame([("s", "a"), ("s", "b"), ("s", None), (None, "c"), (None, "d")], "speaker_code string, window_id string")
+    for numpy_draws in (False, True):
+        got = {r.window_id: list(r.context) for r in items.context_windows(w, 3, 5, numpy_draws).collect()}
+        assert got == {"a": ["b"], "b": ["a"], None: [], "c": [], "d": []}

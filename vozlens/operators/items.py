@@ -25,27 +25,31 @@ def context_windows(windows: DataFrame, n: int, seed: int, numpy_draws: bool = F
     """(window_id, context): up to n other windows of the same speaker, without replacement, sorted by id.
 
     By smallest SHA-256 of (seed, target, other), or by a PCG64 generator a target. A
-    speaker's windows are few (the target of the choice of windows), so the self join is bounded.
+    speaker's windows are few (the target of the choice of windows), so each speaker is one
+    row with the ids, which is all that is shuffled: pairs are made in the tasks and never leave them.
     """
-    a = windows.select("speaker_code", "window_id")
-    pairs = a.join(a.withColumnRenamed("window_id", "other"), "speaker_code").where("window_id <> other")
+    # a window without a speaker has no others: each is a group of its own
+    alone = F.when(F.col("speaker_code").isNull(), F.col("window_id"))
+    own = windows.select("speaker_code", "window_id", alone.alias("alone")).groupBy("speaker_code", "alone").agg(F.collect_list(F.struct("window_id")).alias("all"))
+    ids = F.array_distinct(F.transform("all", lambda x: x["window_id"]))
+    pools = own.select(F.when(F.col("speaker_code").isNotNull(), ids).alias("ids"), F.explode("all").alias("w")).select("ids", "w.window_id")
+    others = F.coalesce(F.filter("ids", lambda o: o != F.col("window_id")), F.array().cast("array<string>"))
     if numpy_draws:
-        pool = pairs.groupBy("window_id").agg(F.array_sort(F.collect_list("other")).alias("pool"))
 
         @F.pandas_udf("array<string>")
         def pick(target: pd.Series, pools: pd.Series) -> pd.Series:
             def one(t: str, p: Sequence[str]) -> list[str]:
+                if not len(p):
+                    return []
                 chosen = derived_generator(seed, "context", t).choice(len(p), size=min(n, len(p)), replace=False)
                 return sorted(p[int(i)] for i in chosen)
 
             return pd.Series([one(t, p) for t, p in zip(target, pools, strict=True)])
 
-        found = pool.select("window_id", pick("window_id", "pool").alias("context"))
-    else:
-        key = F.sha2(F.concat_ws(":", F.lit(str(seed)), "window_id", "other"), 256)
-        ranked = pairs.withColumn("r", F.row_number().over(Window.partitionBy("window_id").orderBy(key)))
-        found = ranked.where(F.col("r") <= n).groupBy("window_id").agg(F.array_sort(F.collect_list("other")).alias("context"))
-    return windows.select("window_id").join(found, "window_id", "left").withColumn("context", F.coalesce("context", F.array().cast("array<string>")))
+        return pools.select("window_id", F.array_sort(others).alias("pool")).select("window_id", pick("window_id", "pool").alias("context"))
+    keyed = F.transform(others, lambda o: F.struct(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("window_id"), o), 256).alias("key"), o.alias("id")))
+    first = F.slice(F.sort_array(keyed), 1, n)
+    return pools.select("window_id", F.sort_array(F.transform(first, lambda x: x["id"])).alias("context"))
 
 
 def pilot_speakers(windows: DataFrame, n: int, regions: Sequence[str], low: int, high: int, seed: int, numpy_draws: bool = False) -> DataFrame:
