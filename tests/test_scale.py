@@ -1,13 +1,14 @@
 """What lets a plan grow with its input: no broadcast of a table that grows, windows summed alone, bounded tasks and batches."""
 
 import datetime as dt
+import re
 
 import duckdb
 import numpy as np
 import pytest
 
 from vozlens import plans
-from vozlens.operators import analysis, items
+from vozlens.operators import analysis, audio, items
 from vozlens.plans import bindings
 
 D = "/root/testdata/sf0.001"
@@ -54,3 +55,13 @@ def test_context_pairs_are_not_shuffled(spark):
     for numpy_draws in (False, True):
         got = {r.window_id: list(r.context) for r in items.context_windows(w, 3, 5, numpy_draws).collect()}
         assert got == {"a": ["b"], "b": ["a"], None: [], "c": [], "d": []}
+
+
+def test_ranges_are_spread_by_their_size(spark, monkeypatch):
+    monkeypatch.setattr(audio, "TASK_BYTES", 1000)
+    df = plans.QUERIES["ranges_coalesced"](spark, D)
+    many = [int(x) for x in re.findall(r"hashpartitioning\(shard#\d+L, (\d+)\), REPARTITION_BY_NUM", plan(df))]
+    assert many and many[0] > 20 and plan(df).count("Exchange hashpartitioning") == 1
+    got = sorted(tuple(r) for r in df.collect())
+    monkeypatch.undo()
+    assert got == sorted(tuple(r) for r in plans.QUERIES["ranges_coalesced"](spark, D).collect())

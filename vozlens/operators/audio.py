@@ -16,8 +16,24 @@ OK, MISSING, UNDECODABLE = "ok", "segmento_ausente_no_dataset", "falha_na_decodi
 RATE = 16_000
 
 
+#: Bytes of input, as its plan estimates them from packed files, for each task; in memory a range takes some thirty times as much.
+TASK_BYTES = 4 << 20
+
+
+def spread(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``rows`` dealt by ``keys`` over as many tasks as their estimated size asks for, the session's number at least; small and unknown sizes are left to Spark."""
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    n = -(-size // TASK_BYTES)
+    known = size < 1 << 50  # for what Spark can't know it says about 2**63
+    return rows.repartition(max(n, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys) if known and n > 1 else rows
+
+
 def coalesce_ranges(ranges: DataFrame, keys: Sequence[str], low: str, high: str, gap: int) -> DataFrame:
-    """Ranges of a group that overlap or lie less than ``gap`` apart become one (gaps and islands)."""
+    """Ranges of a group that overlap or lie less than ``gap`` apart become one (gaps and islands).
+
+    Tasks grow in number with the ranges, not in size; a group is in one task.
+    """
+    ranges = spread(ranges, keys)
     order = Window.partitionBy(*keys).orderBy(low, high)
     reach = F.max(high).over(order.rowsBetween(Window.unboundedPreceding, -1))
     marked = ranges.withColumn("_new", (F.col(low) - reach >= gap).cast("int")).withColumn("_new", F.coalesce("_new", F.lit(1)))
