@@ -5,9 +5,11 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from vozlens import plans
+from vozlens.functions import text as text_functions
 from vozlens.operators import analysis, audio, items
 from vozlens.plans import bindings
 
@@ -65,3 +67,10 @@ def test_ranges_are_spread_by_their_size(spark, monkeypatch):
     got = sorted(tuple(r) for r in df.collect())
     monkeypatch.undo()
     assert got == sorted(tuple(r) for r in plans.QUERIES["ranges_coalesced"](spark, D).collect())
+
+
+def test_texts_are_made_by_slices():
+    texts, seen = ["a" * 400, None, "b" * 700, "", "c" * 400] * 3, []
+    make = lambda part: seen.append(len(part)) or pa.array(part, pa.string())
+    got = text_functions._by_slices(pa.array(texts), make, pa.array([], pa.string()), 1000)
+    assert got.to_pylist() == texts and len(seen) > 3 and sum(seen) == len(texts)
