@@ -40,7 +40,7 @@ def long_runs(spark, tmp_path_factory):
     return d
 
 
-@pytest.mark.parametrize("name", ["windows_pack", "windows_choose", "windows_build", "windows_candidate_ledger"])
+@pytest.mark.parametrize("name", ["windows_pack", "windows_choose", "windows_build", "windows_candidate_ledger", "audio_required_keys"])
 def test_windows_on_a_bound(spark, long_runs, name):
     got = plans.QUERIES[name](spark, long_runs)
     db = duckdb.connect()
