@@ -50,6 +50,23 @@ def test_windows_on_a_bound(spark, long_runs, name):
     assert sorted(tuple(r[i] for i in at) for r in got.collect()) == sorted(want.fetchall())
 
 
+@pytest.fixture(scope="module")
+def few_windows(spark, tmp_path_factory):
+    """Events of speakers of at most four windows, all drawn: each of three events that last just 60 or 300 seconds, between events too long for one."""
+    d = str(tmp_path_factory.mktemp("few"))
+    parts = [(28.7, 27.6, 3.7), (23.8, 25.3, 10.9), (17.2, 26.4, 256.4), (23.2, 11.1, 265.7)]
+    values = [(user, v) for user in range(20) for k in range(1 + user % 4) for v in (1000.0 * (1 + user), *parts[(user + k) % 4], 500.0)]
+    at = dt.datetime(2024, 1, 1)
+    rows = [(i, at + dt.timedelta(minutes=i), user, "view", v, "") for i, (user, v) in enumerate(values)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{d}/events.parquet")
+    return d
+
+
+@pytest.mark.parametrize("name", ["windows_choose"])
+def test_drawn_windows_on_a_bound(spark, few_windows, name):
+    test_windows_on_a_bound(spark, few_windows, name)
+
+
 def test_context_pairs_are_not_shuffled(spark):
     text = plan(plans.QUERIES["items_context"](spark, D))
     assert text.count("Exchange hashpartitioning") == 1 and "Join" not in text
