@@ -62,7 +62,7 @@ def few_windows(spark, tmp_path_factory):
     return d
 
 
-@pytest.mark.parametrize("name", ["windows_choose", "windows_build", "audio_required_keys"])
+@pytest.mark.parametrize("name", ["windows_choose", "windows_build", "audio_required_keys", "windows_candidate_ledger"])
 def test_drawn_windows_on_a_bound(spark, few_windows, name):
     test_windows_on_a_bound(spark, few_windows, name)
 
